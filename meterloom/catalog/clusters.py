@@ -72,7 +72,7 @@ def i6(spark, sf):
 @register("i7_silhouette", "series_id silhouette:6",
           """WITH d AS (SELECT a.series_id, a.date, a.cluster, b.date AS other, b.cluster AS oc, sqrt(sum((a.value - b.value) * (a.value - b.value))) AS dist
                         FROM lvec1 a JOIN lvec1 b ON a.series_id = b.series_id AND a.ival = b.ival GROUP BY ALL),
-                  m AS (SELECT series_id, date, cluster, oc, CASE WHEN oc = cluster THEN sum(dist) / nullif(count(*) - 1, 0) ELSE avg(dist) END AS mean FROM d GROUP BY ALL),
+                  m AS (SELECT series_id, date, cluster, oc, CASE WHEN oc = cluster THEN sum(dist) / nullif(count(*) - 1, 0) ELSE avg(dist) END AS mean FROM d GROUP BY series_id, date, cluster, oc),
                   s AS (SELECT series_id, date, max(CASE WHEN oc = cluster THEN mean END) AS a, min(CASE WHEN oc <> cluster THEN mean END) AS b FROM m GROUP BY 1, 2)
              SELECT series_id, avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM s GROUP BY 1""")
 def i7(spark, sf):

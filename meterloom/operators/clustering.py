@@ -16,7 +16,8 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.storagelevel import StorageLevel
+
+from meterloom.session import materialise, run_parallel
 
 RESTARTS = 10
 SEED = 42
@@ -82,7 +83,7 @@ def cluster_days(
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema.fields if f.name in keys)
     schema = f"{fields}, k int, date date, cluster int, inertia double"
 
-    def fit(key, days: pd.DataFrame) -> pd.DataFrame:
+    def fit(key, days):
         k = int(key[-1])
         days = days.sort_values("date")
         x = np.stack(days["vec"].to_numpy())
@@ -101,28 +102,29 @@ def cluster_days_pooled(
     ks: Sequence[int] = (2, 3),
     restarts: int = RESTARTS,
     seed: int = SEED,
-    keys: Sequence[str] = ("series_id",),
     init: str = "k-means||",
 ) -> DataFrame:
     """One distributed model per k over the days of all series; the restart with the least cost is kept."""
-    data = vectors.withColumn("features", array_to_vector("vec")).persist(StorageLevel.MEMORY_AND_DISK)
+    data = materialise(vectors, "vectors").withColumn("features", array_to_vector("vec"))
+
+    def fit(k: int, r: int):
+        model = KMeans(k=k, seed=seed + r, initMode=init, tol=1e-4, maxIter=300, featuresCol="features", predictionCol="cluster")
+        return model.fit(data)
+
+    runs = run_parallel([(lambda k=k, r=r: (k, fit(k, r))) for k in ks for r in range(restarts)])
     parts = []
     for k in ks:
-        fits = [
-            KMeans(k=k, seed=seed + r, initMode=init, tol=1e-4, maxIter=300, featuresCol="features", predictionCol="cluster").fit(data)
-            for r in range(restarts)
-        ]
+        fits = [m for kk, m in runs if kk == k]
         best = min(fits, key=lambda m: m.summary.trainingCost)
         order = np.lexsort((np.array(best.clusterCenters())[:, 0], np.array(best.clusterCenters()).mean(axis=1)))
         rank = F.array(*[F.lit(int(r)) for r in np.argsort(order)])
         parts.append(
-            best.transform(vectors.withColumn("features", array_to_vector("vec")))
+            best.transform(data)
             .withColumn("cluster", F.element_at(rank, F.col("cluster") + 1))
             .withColumn("k", F.lit(k))
             .withColumn("inertia", F.lit(float(best.summary.trainingCost)))
             .drop("features")
         )
-    data.unpersist()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

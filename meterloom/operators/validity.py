@@ -31,7 +31,7 @@ def silhouette_points(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in labelled.schema.fields if f.name in keys)
 
-    def score(key, days: pd.DataFrame) -> pd.DataFrame:
+    def score(key, days):
         x = np.stack(days["vec"].to_numpy())
         names, own = np.unique(days["cluster"].to_numpy(), return_inverse=True)
         n, k = len(x), len(names)
@@ -100,17 +100,17 @@ def calinski_harabasz(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
     per_cluster = (
         _with_own_distance(labelled, keys)
         .groupBy(*keys, "cluster")
-        .agg(F.sum("dist2").alias("w"), F.count(F.lit(1)).alias("m"), F.first("centroid").alias("centroid"))
+        .agg(F.sum("dist2").alias("_w"), F.count(F.lit(1)).alias("_m"), F.first("centroid").alias("centroid"))
     )
     grand = centroids(labelled.withColumn("cluster", F.lit(0)), keys).select(*keys, F.col("centroid").alias("grand"))
     parts = (
         per_cluster.join(grand, list(keys))
-        .withColumn("b", F.col("m") * squared_distance("centroid", "grand"))
+        .withColumn("_b", F.col("_m") * squared_distance("centroid", "grand"))
         .groupBy(*keys)
-        .agg(F.sum("b").alias("b"), F.sum("w").alias("w"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"))
+        .agg(F.sum("_b").alias("_b"), F.sum("_w").alias("_w"), F.sum("_m").alias("_n"), F.count(F.lit(1)).alias("_k"))
     )
-    ratio = F.try_divide(F.col("b") * (F.col("n") - F.col("k")), F.col("w") * (F.col("k") - 1))
-    value = F.when((F.col("k") < 2) | (F.col("n") <= F.col("k")), 0.0).when(F.col("w") == 0, 1.0).otherwise(ratio)
+    ratio = F.try_divide(F.col("_b") * (F.col("_n") - F.col("_k")), F.col("_w") * (F.col("_k") - 1))
+    value = F.when((F.col("_k") < 2) | (F.col("_n") <= F.col("_k")), 0.0).when(F.col("_w") == 0, 1.0).otherwise(ratio)
     return parts.select(*keys, F.coalesce(value, F.lit(0.0)).alias("calinski_harabasz"))
 
 
