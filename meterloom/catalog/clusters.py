@@ -138,6 +138,14 @@ _NMI = f"""WITH {_LABELLINGS}, t AS (SELECT series_id, lft, rgt, sum(n) AS n FRO
  SELECT mi.series_id, mi.lft, mi.rgt, greatest(mi.mi, 0) / ((hx.h + hy.h) / 2) AS nmi FROM mi JOIN hx USING (series_id, lft, rgt) JOIN hy USING (series_id, lft, rgt)"""
 
 
+def _matrix_sql(body: str, measure: str) -> str:
+    cells = ", ".join(f"max(CASE WHEN rgt = {i} THEN {measure} END) AS c{i}" for i in (1, 2, 3))
+    return f"SELECT series_id, lft, {cells} FROM ({body}) GROUP BY 1, 2"
+
+
+ARI_MATRIX, NMI_MATRIX = _matrix_sql(_ARI, "ari"), _matrix_sql(_NMI, "nmi")
+
+
 def labellings(spark, sf):
     d = day_labels(spark, sf)
     three = F.array(*[F.struct(F.lit(i).alias("config_id"), c.alias("cluster")) for i, c in enumerate(

@@ -166,7 +166,7 @@ def pairs(spark, sf):
 # ---- row windows -------------------------------------------------------------------------------------------------
 
 
-@register("f1_trailing_temperature", "series_id ts:t temp_ma_24h:9 temp_ma_48h:9 temp_ma_72h:9",
+@register("f1_trailing_temperature", "series_id ts:t temp_ma_24h:10 temp_ma_48h:10 temp_ma_72h:10",
           "SELECT series_id, ts, temp_ma_24h, temp_ma_48h, temp_ma_72h FROM trailing_rows")
 def f1(spark, sf):
     return rowframe.trailing_weather(rowframe.with_row_index(panels.events_panel(spark, sf)), names=["temp_ma_24h", "temp_ma_48h", "temp_ma_72h"])
@@ -178,7 +178,7 @@ def f2(spark, sf):
     return rowframe.trailing_weather(rowframe.with_row_index(panels.events_panel(spark, sf)), names=["radiation_sum_24h", "radiation_sum_48h"])
 
 
-@register("f1_trailing_over_gaps", "series_id ts:t mean96:9 sum96:6",
+@register("f1_trailing_over_gaps", "series_id ts:t mean96:10 sum96:6",
           """SELECT series_id, ts, avg(temperature) OVER w AS mean96, sum(radiation) OVER w AS sum96 FROM full15
              WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 95 PRECEDING AND CURRENT ROW)""")
 def f1_gaps(spark, sf):

@@ -356,13 +356,13 @@ def k14(spark, sf):
 
 @register("k15_failed_models", "series_id model valid_samples:i",
           """SELECT s.series_id, m.m AS model, coalesce(b.valid_samples, 0) AS valid_samples FROM (SELECT DISTINCT series_id FROM load15) s
-             CROSS JOIN (VALUES ('Last Day'), ('Last Week'), ('Chronos')) m(m) LEFT JOIN (SELECT series_id, 'Last Day' AS model, count(last_day) AS valid_samples FROM holdout GROUP BY 1
+             CROSS JOIN (VALUES ('Last Day'), ('Last Week'), ('Zero Shot')) m(m) LEFT JOIN (SELECT series_id, 'Last Day' AS model, count(last_day) AS valid_samples FROM holdout GROUP BY 1
              UNION ALL SELECT series_id, 'Last Week', count(last_week) FROM holdout GROUP BY 1) b ON b.series_id = s.series_id AND b.model = m.m""")
 def k15(spark, sf):
     from meterloom.plans.persistence import persistence_backtest
 
     p = panels.events_panel(spark, sf)
-    names = F.array(*[F.lit(n) for n in ("Last Day", "Last Week", "Chronos")])
+    names = F.array(*[F.lit(n) for n in ("Last Day", "Last Week", "Zero Shot")])
     expected = p.select("series_id").distinct().withColumn("model", F.explode(names))
     return metrics.with_missing_models(persistence_backtest(p, TEST_START), expected, ["series_id", "model"])
 

@@ -16,7 +16,6 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import PolynomialExpansion
@@ -26,8 +25,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meterloom.learners import closedform
+from meterloom.session import run_parallel
 
 SEED = 42
+# Stopping tolerances of the margin and logistic fits.
+SVM_TOLERANCE = 1e-3
+LOGISTIC_TOLERANCE = 1e-4
 
 
 @dataclass
@@ -100,17 +103,47 @@ def _kernel_map(params: Mapping, train: DataFrame) -> Callable[[DataFrame], Data
 # ---- classifiers -------------------------------------------------------------------------------------------------
 
 
-def _margins_to_probs(model, prepare: Callable[[DataFrame], DataFrame], train: DataFrame, n_classes: int) -> Callable[[DataFrame], DataFrame]:
-    """Class probabilities by a logistic fit on the margins, for learners that give margins only."""
-    scored = model.transform(prepare(train)).select("label", "rawPrediction")
-    link = LogisticRegression(featuresCol="rawPrediction", probabilityCol="_prob", predictionCol="_p", rawPredictionCol="_r", regParam=1e-4, standardization=False, maxIter=50).fit(scored)
+def _one_against_rest(
+    build: Callable[[], object], prepare: Callable[[DataFrame], DataFrame], train: DataFrame, n_classes: int
+) -> tuple[Callable[[DataFrame], DataFrame], tuple]:
+    """One margin per class from binary fits that run side by side, and probabilities by a logistic fit on the margins.
+
+    Everything stays in column expressions, so scoring needs no Python on the rows.
+    """
+    ready = prepare(train)
+    present = sorted(int(r["label"]) for r in train.select("label").distinct().toLocalIterator())
+    if len(present) < 2:
+        raise ValueError("a classifier needs at least two classes")
+    wanted = present[1:] if len(present) == 2 else present
+
+    def fit(c: int):
+        return build().fit(ready.withColumn("label", (F.col("label") == c).cast("double")))
+
+    fitted = run_parallel([(lambda c=c: fit(c)) for c in wanted])
+
+    def margins(df: DataFrame) -> DataFrame:
+        out = prepare(df)
+        keep = out.columns
+        for c, m in zip(wanted, fitted):
+            out = m.transform(out).withColumn(f"_m{c}", vector_to_array("rawPrediction")[1])
+            out = out.select(*keep, *[f"_m{x}" for x in wanted if f"_m{x}" in out.columns])
+        cells = [F.col(f"_m{c}") for c in wanted]
+        if len(wanted) == 1:
+            chosen = F.when(cells[0] > 0, wanted[0]).otherwise(present[0])
+        else:
+            ranked = F.array_max(F.array(*[F.struct(m.alias("m"), F.lit(-c).alias("c")) for c, m in zip(wanted, cells)]))
+            chosen = -ranked["c"]
+        return out.withColumn("prediction", chosen.cast("int")).withColumn("_margins", array_to_vector(F.array(*cells))).drop(*[f"_m{c}" for c in wanted])
+
+    link = LogisticRegression(
+        featuresCol="_margins", probabilityCol="_prob", predictionCol="_p", rawPredictionCol="_r", regParam=1e-4, standardization=False, maxIter=50, tol=LOGISTIC_TOLERANCE,
+    ).fit(margins(train).select("label", "_margins"))
 
     def apply(df: DataFrame) -> DataFrame:
-        out = link.transform(model.transform(prepare(df)))
-        out = out.withColumn("probs", _padded(vector_to_array("_prob"), n_classes)).withColumn("prediction", F.col("prediction").cast("int"))
-        return out.drop("_prob", "_p", "_r", "rawPrediction", "mapped")
+        out = link.transform(margins(df))
+        return out.withColumn("probs", _padded(vector_to_array("_prob"), n_classes)).drop("_prob", "_p", "_r", "_margins", "mapped")
 
-    return apply
+    return apply, (*fitted, link)
 
 
 def _padded(probs: Column, n_classes: int) -> Column:
@@ -166,22 +199,20 @@ def fit_classifier(name: str, params: Mapping, train: DataFrame, n_classes: int)
         )
     elif name == "Logistic Regression":
         n = train.count()
-        est = LogisticRegression(regParam=1.0 / (n * float(params.get("C", 1.0))), elasticNetParam=0.0, maxIter=int(params.get("max_iter", 100)), standardization=False)
+        est = LogisticRegression(regParam=1.0 / (n * float(params.get("C", 1.0))), elasticNetParam=0.0, maxIter=int(params.get("max_iter", 100)), standardization=False, tol=LOGISTIC_TOLERANCE)
     elif name in ("XGBoost", "LightGBM", "CatBoost"):
         booster = GBTClassifier(**_boosting_params(params))
         if n_classes == 2:
             est = booster
         else:
-            model = OneVsRest(classifier=booster, parallelism=4).fit(train)
-            return Fitted(name, _margins_to_probs(model, lambda d: d, train, n_classes), (model,))
+            return Fitted(name, *_one_against_rest(lambda: GBTClassifier(**_boosting_params(params)), lambda d: d, train, n_classes))
     elif name in ("SVM Linear", "SVM Non-Linear"):
         n = train.count()
         prepare = _kernel_map(params, train) if name == "SVM Non-Linear" else (lambda d: d)
         col = "mapped" if name == "SVM Non-Linear" else "features"
-        svc = LinearSVC(featuresCol=col, regParam=1.0 / (n * float(params.get("C", 1.0))), standardization=False, maxIter=100)
-        est = OneVsRest(classifier=svc, featuresCol=col, parallelism=4) if n_classes > 2 else svc
-        model = est.fit(prepare(train))
-        return Fitted(name, _margins_to_probs(model, prepare, train, n_classes), (model,))
+        penalty = 1.0 / (n * float(params.get("C", 1.0)))
+        build = lambda: LinearSVC(featuresCol=col, regParam=penalty, standardization=False, maxIter=100, tol=SVM_TOLERANCE)
+        return Fitted(name, *_one_against_rest(build, prepare, train, n_classes))
     else:
         raise ValueError(f"unknown classifier {name!r}")
     model = est.fit(train)

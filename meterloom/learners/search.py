@@ -109,7 +109,7 @@ def evaluate_classifiers(data: DataFrame, results: DataFrame, n_classes: int, cv
     parts = run_parallel([(lambda n=n, p=p: one(n, p)) for n, p in _chosen(results)])
     scored = _union(parts)
     keys = ["model", "best_params", "fold"]
-    scores = metrics.classification_scores(scored, keys, "label").join(metrics.auc_one_vs_one(scored, keys), keys, "left")
+    scores = metrics.classification_scores(scored, keys, "label", "prediction").join(metrics.auc_one_vs_one(scored, keys), keys, "left")
     board = metrics.classification_leaderboard(scores, ["model", "best_params"])
     return board.orderBy(*measure_order("accuracy"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -95,16 +95,19 @@ def day_features(
     fit: Column | None = None,
     scale: bool = True,
     dense: bool = True,
+    extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Feature table per day: climate, optional trailing weather, calendar flags and cyclic terms.
 
     ``fit`` restricts the rows the scaler learns from (for example those before the test start); by default all.
+    ``extra`` adds further day aggregates, such as the peak of another load column.
     """
     aggs = [
         F.avg("temperature").alias("temperature"),
         F.max(load).alias("load_max"),
         F.sum("radiation").alias("radiation_sum"),
     ]
+    aggs += [c.alias(n) for n, c in (extra or {}).items()]
     if trailing:
         rows = panel if "rn" in panel.columns else with_row_index(panel, keys)
         rows = trailing_weather(rows, keys)
@@ -119,4 +122,4 @@ def day_features(
     climate = CLIMATE + (TRAILING if trailing else [])
     if scale:
         days = standardise(days, climate, keys, fit)
-    return days.select(*keys, "date", "load_max", *feature_columns(trailing))
+    return days.select(*keys, "date", "load_max", *(extra or {}), *feature_columns(trailing))

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from meterloom.functions.timeaxis import stamp_from
+from meterloom.learners import closedform, models
+from meterloom.operators import daily, folds, metrics
+from meterloom.operators.reshape import as_variants
+from meterloom.operators.scale import standardise
+from meterloom.session import materialise, run_parallel
 
 KEYS = ("series_id",)
 
@@ -40,3 +45,119 @@ def blended_profile_times_peak(days: DataFrame, profiles: DataFrame, keys: Seque
 def pair_with_actual(panel: DataFrame, forecast: DataFrame, target: str = "total", keys: Sequence[str] = KEYS) -> DataFrame:
     """Inner join of actual and forecast on the stamp."""
     return forecast.join(panel.select(*keys, "ts", F.col(target).alias("actual")), [*keys, "ts"])
+
+
+# ---- full runs over settings and model pairs ---------------------------------------------------------------------
+
+DAY = ["fold", "series_id", "variant", "date"]
+
+
+def day_table(panel: DataFrame, trailing: bool = True, holidays: DataFrame | None = None) -> DataFrame:
+    """Unscaled day features with one row per series, load variant and day; ``peak`` is the day's maximum."""
+    days = daily.day_features(panel, trailing, holidays=holidays, scale=False, extra={"filter_max": F.max("total_filter")})
+    return days.unpivot(["series_id", "date", *daily.feature_columns(trailing)], ["load_max", "filter_max"], "variant", "peak").withColumn(
+        "variant", F.when(F.col("variant") == "load_max", "raw").otherwise("filter")
+    )
+
+
+def holdout_folds(days: DataFrame, test_start: str) -> DataFrame:
+    """A single fold: days before ``test_start`` train, the others test."""
+    return folds.date_split(days, test_start).withColumn("fold", F.lit(0))
+
+
+def cv_folds(days: DataFrame, splits: int = 2, protocol: str = "complement") -> DataFrame:
+    """``complement`` trains on every day outside the test block, ``expanding`` only on the days before it."""
+    indexed = folds.with_day_index(days, ["series_id", "variant"])
+    split = folds.complement_roles if protocol == "complement" else folds.expanding_roles
+    return split(indexed, splits).drop("rn", "series_rows")
+
+
+def scaled_per_fold(folded: DataFrame, trailing: bool = True, fit_scope: str = "train") -> DataFrame:
+    """Climate columns standardised with the statistics of each fold's training days (or of all its days)."""
+    climate = daily.CLIMATE + (daily.TRAILING if trailing else [])
+    fit = F.col("role") == "train" if fit_scope == "train" else None
+    return standardise(folded, climate, ["series_id", "variant", "fold"], fit)
+
+
+def _complete(df: DataFrame, trailing: bool) -> DataFrame:
+    """Days with a missing feature (for example days without readings) cannot be used by a learner."""
+    return models.assemble(df, daily.feature_columns(trailing))
+
+
+def predict_with_models(
+    scaled: DataFrame, labels: DataFrame, settings: Sequence[tuple[str, int, int]], classifiers: Sequence[tuple[str, dict]],
+    regressors: Sequence[tuple[str, dict]], fold_ids: Sequence[int], trailing: bool = True,
+) -> DataFrame:
+    """Predicted cluster, class probabilities and peak of every test day for all pairs of models.
+
+    One fit per (setting, fold, classifier) and one per (variant, fold, regressor) over the days of all series; pairs
+    are formed by a join of the two prediction tables and cost no further fit. ``settings`` lists (variant, k, config).
+    """
+    table = materialise(_complete(scaled, trailing).select(*DAY, "role", "features", "peak"), "day-matrix")
+    known = materialise(labels.select("series_id", "variant", "config_id", "k", "date", "cluster"), "labels")
+
+    def classify(variant, k, config, fold, name, params):
+        days = table.filter((F.col("variant") == variant) & (F.col("fold") == fold))
+        own = known.filter((F.col("variant") == variant) & (F.col("k") == k) & (F.col("config_id") == config)).select("series_id", "date", F.col("cluster").cast("double").alias("label"))
+        train = days.filter("role = 'train'").join(own, ["series_id", "date"])
+        scored = models.fit_classifier(name, params, train, k).transform(days.filter("role = 'test'"))
+        return scored.select(*DAY, F.lit(k).alias("k"), F.lit(config).alias("config_id"), F.lit(name).alias("classifier"), F.col("prediction").alias("cluster"), "probs")
+
+    def regress(variant, fold, name, params):
+        days = table.filter((F.col("variant") == variant) & (F.col("fold") == fold)).withColumn("label", F.col("peak"))
+        train = days.filter("role = 'train' AND label IS NOT NULL")
+        scored = models.fit_regressor(name, params, train).transform(days.filter("role = 'test'"))
+        return scored.select(*DAY, F.lit(name).alias("regressor"), F.col("prediction").alias("peak"))
+
+    variants = sorted({v for v, _, _ in settings})
+    shapes = run_parallel([(lambda a=(*s, f, *c): classify(*a)) for s in settings for f in fold_ids for c in classifiers])
+    peaks = run_parallel([(lambda a=(v, f, *r): regress(*a)) for v in variants for f in fold_ids for r in regressors])
+    return _union(shapes).join(_union(peaks), DAY)
+
+
+def predict_per_series(scaled: DataFrame, labels: DataFrame, n_classes: int, alpha: float = 1.0, var_smoothing: float = 1e-9, trailing: bool = True) -> DataFrame:
+    """The same table from closed-form learners fitted for every series, setting and fold in one plan, without loops:
+    Gaussian naive Bayes for the shape and ridge regression for the peak."""
+    features = daily.feature_columns(trailing)
+    days = scaled.dropna(subset=features)
+    model = [*DAY[:3], "config_id", "k"]
+    own = labels.select("series_id", "variant", "config_id", "k", "date", "cluster")
+    train = days.filter("role = 'train'")
+    test = days.filter("role = 'test'")
+    bayes = closedform.bayes_fit(train.join(own, ["series_id", "variant", "date"]), features, "cluster", model, var_smoothing)
+    runs = bayes.select(*model).distinct()
+    shapes = closedform.bayes_predict(test.join(runs, DAY[:3]), bayes, features, n_classes, model)
+    shapes = shapes.select(*DAY, "config_id", "k", F.col("prediction").alias("cluster"), "probs")
+    ridge = closedform.linear_fit(train, features, "peak", DAY[:3], alpha)
+    peaks = closedform.linear_predict(test, ridge, features, DAY[:3], "predicted_peak")
+    return shapes.join(peaks.select(*DAY, F.col("predicted_peak").alias("peak")), DAY).withColumns({"classifier": F.lit("Naive Bayes"), "regressor": F.lit("Linear Regression")})
+
+
+def forecast_settings(predicted: DataFrame, profiles: DataFrame, soft: bool = False) -> DataFrame:
+    """Quarter-hour forecast of every predicted day, for all settings, folds and model pairs at once."""
+    keys = ["series_id", "variant", "config_id", "k"]
+    if soft:
+        return blended_profile_times_peak(predicted.drop("cluster"), profiles, keys)
+    return shape_times_peak(predicted.drop("probs"), profiles, keys)
+
+
+RUN = ["fold", "variant", "k", "config_id", "classifier", "regressor"]
+
+
+def score_forecasts(panel: DataFrame, forecast: DataFrame) -> DataFrame:
+    """Measures of every run per series against the load variant it was made for."""
+    actual = as_variants(panel).withColumnRenamed("value", "actual")
+    pairs = forecast.join(actual, ["series_id", "variant", "ts"])
+    return metrics.hybrid_metrics(pairs, ["series_id", *RUN])
+
+
+def cv_summary(scores: DataFrame) -> DataFrame:
+    """Mean and sample deviation over the folds of each run."""
+    return metrics.cv_summary(scores, ["series_id", *[c for c in RUN if c != "fold"]], ["r2", "mae", "mse", "rmse", "wmape_signed"])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -1,18 +1,24 @@
 """Walk-forward fits: at each origin day a model is fitted on all earlier days and forecasts that day.
 
-No history is read twice. Each day is reduced to sums once, in parallel over series and days, and the sums before an
-origin are running totals over the day rows, of which a series has one per calendar day.
+No history is read twice. Each day is reduced to sums of products once, in parallel over series and days; a running total
+over the day rows (one per calendar day of a series) then gives the sums before every origin, and only the small solve
+per origin runs on them. The work grows with the number of days, not with its square, and a frame that ends before the
+origin cannot read the origin's own day.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from meterloom.operators.rowframe import with_frames
+
 KEYS = ("series_id",)
+LONG_AR = 20
+BURN_IN_DAYS = 7
 
 
 def history_sums(panel: DataFrame, terms: Mapping[str, Column], keys: Sequence[str] = KEYS, ts: str = "ts") -> DataFrame:
@@ -20,3 +26,182 @@ def history_sums(panel: DataFrame, terms: Mapping[str, Column], keys: Sequence[s
     days = panel.groupBy(*keys, F.to_date(ts).alias("date")).agg(*[F.sum(c).alias(n) for n, c in terms.items()])
     earlier = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     return days.select(*keys, "date", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in terms])
+
+
+def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
+
+
+def day_grams(rows: DataFrame, target: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Per day: number of rows, packed upper triangle of the sum of x x', and the sum of x y.
+
+    ``rows`` carries ``date`` and the design as array ``x``. Rows are spread over series and day, so one long series is
+    shared by many tasks; a batch boundary inside a day only splits a sum.
+    """
+    keys = list(keys)
+    part = rows.filter(F.col(target).isNotNull() & F.col("x").isNotNull()).select(*keys, "date", "x", F.col(target).cast("double").alias("y"))
+    ordered = part.repartition(*keys, "date").sortWithinPartitions(*keys, "date")
+
+    def reduce(batches):
+        open_key, n, gram, moment = None, 0, None, None
+        for b in batches:
+            if not len(b):
+                continue
+            x, y = np.stack(b["x"].to_numpy()), b["y"].to_numpy()
+            upper = np.triu_indices(x.shape[1])
+            ids = list(zip(*[b[k] for k in keys], b["date"]))
+            cuts = [0] + [i for i in range(1, len(ids)) if ids[i] != ids[i - 1]] + [len(ids)]
+            done = []
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                xs, ys = x[lo:hi], y[lo:hi]
+                if ids[lo] == open_key:
+                    n, gram, moment = n + hi - lo, gram + xs.T @ xs, moment + xs.T @ ys
+                else:
+                    if open_key is not None:
+                        done.append((*open_key, n, gram[upper], moment))
+                    open_key, n, gram, moment = ids[lo], hi - lo, xs.T @ xs, xs.T @ ys
+            if done:
+                yield pd.DataFrame(done, columns=[*keys, "date", "n", "gram", "moment"])
+        if open_key is not None:
+            yield pd.DataFrame([(*open_key, n, gram[np.triu_indices(len(moment))], moment)], columns=[*keys, "date", "n", "gram", "moment"])
+
+    return ordered.mapInPandas(reduce, f"{_key_schema(rows, keys)}, date date, n bigint, gram array<double>, moment array<double>")
+
+
+def rolling_coefficients(grams: DataFrame, penalty: Sequence[float], keys: Sequence[str] = KEYS) -> DataFrame:
+    """Coefficients before and through each day: ``n_before, beta_before, beta_through``.
+
+    Day rows of a series pass through one task in date order with a running total, batch by batch.
+    """
+    keys = list(keys)
+    ridge = np.asarray(penalty, dtype=float)
+    p = len(ridge)
+    upper = np.triu_indices(p)
+
+    def solve(total, moment):
+        full = np.zeros((p, p))
+        full[upper] = total
+        full = full + np.triu(full, 1).T + np.diag(ridge)
+        try:
+            return np.linalg.solve(full, moment)
+        except np.linalg.LinAlgError:
+            return np.linalg.lstsq(full, moment, rcond=None)[0]
+
+    def roll(batches):
+        current, n, total, moment, before = None, 0, None, None, None
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                key = tuple(getattr(row, k) for k in keys)
+                if key != current:
+                    current, n, total, moment, before = key, 0, np.zeros(len(upper[0])), np.zeros(p), None
+                seen = n
+                n, total, moment = n + row.n, total + row.gram, moment + row.moment
+                through = solve(total, moment)
+                out.append((*key, row.date, seen, before, through))
+                before = through
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, "date", "n_before", "beta_before", "beta_through"])
+
+    ordered = grams.repartition(*keys).sortWithinPartitions(*keys, "date")
+    return ordered.mapInPandas(roll, f"{_key_schema(grams, keys)}, date date, n_before bigint, beta_before array<double>, beta_through array<double>")
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def walk_forward_linear(rows: DataFrame, design: Sequence[Column], target: str = "total", penalty: float | Sequence[float] = 1e-3, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Add ``fitted`` (from the days before) and ``residual`` (from the days up to and including the row's own)."""
+    weights = [penalty] * len(design) if isinstance(penalty, (int, float)) else list(penalty)
+    cells = [c.cast("double") for c in design]
+    known = F.lit(True)
+    for c in cells:
+        known = known & c.isNotNull()
+    with_x = rows.withColumn("x", F.when(known, F.array(*cells)))
+    betas = rolling_coefficients(day_grams(with_x, target, keys), weights, keys)
+    out = with_x.join(betas, [*keys, "date"], "left")
+    return out.withColumns({"fitted": _dot("x", "beta_before"), "residual": F.col(target) - _dot("x", "beta_through")}).drop("beta_before", "beta_through", "x")
+
+
+# ---- ARMA(2,1) errors --------------------------------------------------------------------------------------------
+
+
+def arma21_from_autocovariances(g: np.ndarray, order: int = LONG_AR) -> tuple[np.ndarray, np.ndarray] | None:
+    """Hannan-Rissanen estimate from autocovariances g[0..order+1].
+
+    A long autoregression stands in for the innovations; the ARMA coefficients are the regression of u(t) on u(t-1),
+    u(t-2) and the innovation at t-1, all of whose moments are combinations of g. Returns (phi1, phi2, theta) and the
+    innovation filter, or None when g carries no information.
+    """
+    if not np.isfinite(g).all() or g[0] <= 1e-12:
+        return None
+    lag = np.abs(np.subtract.outer(np.arange(order), np.arange(order)))
+    ar = np.linalg.solve(g[lag] + np.eye(order) * g[0] * 1e-6, g[1 : order + 1])
+    flt = np.concatenate([[1.0], -ar])
+    i = np.arange(order + 1)
+    e0 = flt @ g[np.abs(np.subtract.outer(i, i))] @ flt
+    u1, u2, u0 = flt @ g[i], flt @ g[np.abs(1 - i)], flt @ g[i + 1]
+    m = np.array([[g[0], g[1], u1], [g[1], g[0], u2], [u1, u2, e0]])
+    try:
+        phi1, phi2, theta = np.linalg.solve(m, np.array([g[1], g[2], u0]))
+    except np.linalg.LinAlgError:
+        phi1, phi2, theta = np.inf, np.inf, 0.0
+    if not (abs(phi2) < 1 and phi2 + phi1 < 1 and phi2 - phi1 < 1):
+        # Outside the stationary region: the autoregressive part by Yule-Walker, which always lies inside.
+        r1, r2 = g[1] / g[0], g[2] / g[0]
+        phi1, phi2, theta = r1 * (1 - r2) / (1 - r1**2 + 1e-12), (r2 - r1**2) / (1 - r1**2 + 1e-12), 0.0
+    return np.array([phi1, phi2, theta]), flt
+
+
+def with_arma_errors(rows: DataFrame, keys: Sequence[str] = KEYS, order: int = LONG_AR, burn_in_days: int = BURN_IN_DAYS, target: str = "predicted") -> DataFrame:
+    """Add ARMA(2,1) error forecasts to ``fitted``.
+
+    ``rows`` comes from :func:`walk_forward_linear` and has ``rn`` and ``ordinal``. Lag products of the residuals are
+    summed per day and accumulated over the days before each origin; the first ``burn_in_days`` are left out because
+    their coefficients are still unsettled.
+    """
+    keys = list(keys)
+    top = order + 1
+    known = rows.filter(F.col("residual").isNotNull())
+    lagged = with_frames(known.select(*keys, "date", "rn", "residual"), {"past": (F.collect_list("residual"), -top, 0)}, keys)
+    product = lambda l: F.when(F.size("past") > l, F.col("residual") * F.element_at("past", -(l + 1))).otherwise(0.0)
+    per_day = lagged.groupBy(*keys, "date").agg(
+        F.count(F.lit(1)).alias("n"), F.max_by("past", "rn").alias("tail"), *[F.sum(product(l)).alias(f"g{l}") for l in range(top + 1)]
+    )
+    steps = rows.groupBy(*keys, "date").agg(F.max("ordinal").alias("last_ordinal"))
+    w = Window.partitionBy(*keys).orderBy("date")
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    settled = F.col("day_no") > burn_in_days
+    numbered = steps.join(per_day, [*keys, "date"], "left").withColumn("day_no", F.row_number().over(w))
+    origins = numbered.select(
+        *keys, "date", "last_ordinal",
+        F.last("tail", ignorenulls=True).over(earlier).alias("tail"),
+        F.sum(F.when(settled, F.col("n"))).over(earlier).alias("n"),
+        F.array(*[F.coalesce(F.sum(F.when(settled, F.col(f"g{l}"))).over(earlier), F.lit(0.0)) for l in range(top + 1)]).alias("g"),
+    ).filter("n > 0")
+
+    def forecast(batches):
+        for b in batches:
+            paths = []
+            for n, g, tail, last in zip(b["n"], b["g"], b["tail"], b["last_ordinal"]):
+                h = int(last) + 1
+                fit = arma21_from_autocovariances(np.asarray(g, dtype=float) / float(n), order)
+                if fit is None:
+                    paths.append(np.zeros(h))
+                    continue
+                (phi1, phi2, theta), flt = fit
+                u = np.zeros(order + 1)
+                recent = np.asarray(tail, dtype=float)[::-1][: order + 1]
+                u[: len(recent)] = recent
+                path = np.empty(h)
+                a, c, shock = u[0], u[1], theta * float(flt @ u)
+                for i in range(h):
+                    path[i] = phi1 * a + phi2 * c + shock
+                    a, c, shock = path[i], a, 0.0
+                paths.append(path)
+            yield pd.DataFrame({**{k: b[k] for k in keys}, "date": b["date"], "errors": paths})
+
+    ahead = origins.mapInPandas(forecast, f"{_key_schema(rows, keys)}, date date, errors array<double>")
+    out = rows.join(ahead, [*keys, "date"], "left")
+    return out.withColumn(target, F.col("fitted") + F.element_at("errors", (F.col("ordinal") + 1).cast("int"))).drop("errors")
