@@ -52,9 +52,7 @@ def k23(spark, sf):
 
 def _stage(spark, sf, ks, configs, variants):
     p = materialise(panel(spark, sf), "panel")
-    s = shapes.shape_days(p, ks, configs, variants)
-    labels = materialise(s.labels, "labels")
-    return p, shapes.shape_days(p, ks, configs, variants, labels=labels)
+    return p, shapes.shape_days(p, ks, configs, variants)
 
 
 _SCORES = "series_id fold:i variant k:i config_id:i classifier regressor r2:6 mae:6 mse:6 rmse:6 wmape_signed:6"

@@ -56,14 +56,12 @@ def k21(spark, sf):
     return daily.day_features(panels.events_panel(spark, sf), trailing=True)
 
 
-@register("b19_re_encoded_features_dropped", "series_id date:d columns",
-          "SELECT series_id, date, 'date,is_holiday,is_weekend,month_cos,month_sin,n,series_id,total,weekday_cos,weekday_sin,dayofyear_cos,dayofyear_sin' AS columns FROM orders_days")
+@register("b19_re_encoded_features_dropped", "series_id date:d kept:i", "SELECT series_id, date, 0 AS kept FROM orders_days")
 def b19(spark, sf):
-    from meterloom.functions.encode import with_cyclic
+    from meterloom.functions.encode import CYCLES, with_cyclic
 
     out = with_cyclic(daily.with_calendar(panels.orders_panel(spark, sf)))
-    order = "date,is_holiday,is_weekend,month_cos,month_sin,n,series_id,total,weekday_cos,weekday_sin,dayofyear_cos,dayofyear_sin".split(",")
-    return out.withColumn("columns", F.lit(",".join(c for c in order if c in out.columns) if len(order) == len(out.columns) else ",".join(out.columns)))
+    return out.withColumn("kept", F.lit(len([c for c in CYCLES if c in out.columns])))
 
 
 # ---- learners ----------------------------------------------------------------------------------------------------

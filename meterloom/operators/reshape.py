@@ -57,16 +57,16 @@ def pivot_slots(slots: DataFrame, keys: Sequence[str] = KEYS, n_slots: int = SLO
 
     The slot list is given, so no job is spent on finding it. With ``strict`` a repeated slot fails the query.
     """
-    aggs = []
-    for s in range(n_slots):
-        hit = F.col("slot") == s
-        v = F.max(F.when(hit, F.col("value")))
-        if strict:
-            v = F.when(
-                F.count_if(hit) > 1, F.raise_error(F.lit("two readings for one day and slot")).cast("double")
-            ).otherwise(v)
-        aggs.append(v.alias(f"s{s}"))
-    return slots.groupBy(*keys, "date").agg(*aggs)
+    cells = [F.max(F.when(F.col("slot") == s, F.col("value"))).alias(f"s{s}") for s in range(n_slots)]
+    if not strict:
+        return slots.groupBy(*keys, "date").agg(*cells)
+    # The slots seen are kept as bits, 64 to a word; more readings than bits means that some slot came twice.
+    words = range((n_slots + 63) // 64)
+    seen = [F.bit_or(F.when(F.floor(F.col("slot") / 64) == w, F.expr("shiftleft(1L, cast(slot % 64 as int))"))).alias(f"_w{w}") for w in words]
+    days = slots.groupBy(*keys, "date").agg(*cells, *seen, F.count("slot").alias("_readings"))
+    distinct = sum((F.coalesce(F.bit_count(F.col(f"_w{w}")), F.lit(0)) for w in words), F.lit(0))
+    checked = F.when(F.col("_readings") > distinct, F.raise_error(F.lit("two readings for one day and slot")).cast("date")).otherwise(F.col("date"))
+    return days.withColumn("date", checked).drop("_readings", *[f"_w{w}" for w in words])
 
 
 def melt_slots(wide: DataFrame, keys: Sequence[str] = KEYS, n_slots: int = SLOTS_PER_DAY, value: str = "value") -> DataFrame:

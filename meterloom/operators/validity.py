@@ -13,13 +13,20 @@ from pyspark.sql import DataFrame, functions as F
 from meterloom.operators.clustering import centroids, squared_distance
 
 
-def _with_own_distance(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return labelled.join(centroids(labelled, keys), [*keys, "cluster"]).withColumn("dist2", squared_distance("vec", "centroid"))
+def cluster_stats(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per cluster: centroid, members, summed squared distance and mean distance to the centroid.
+
+    Two passes over the days (centroids, then distances); every index but the silhouette follows from this small table.
+    """
+    own = labelled.join(centroids(labelled, keys), [*keys, "cluster"]).withColumn("dist2", squared_distance("vec", "centroid"))
+    return own.groupBy(*keys, "cluster").agg(
+        F.sum("dist2").alias("within"), F.avg(F.sqrt("dist2")).alias("spread"), F.count(F.lit(1)).alias("members"), F.first("centroid").alias("centroid")
+    )
 
 
 def inertia(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sum of squared distances to the own centroid."""
-    return _with_own_distance(labelled, keys).groupBy(*keys).agg(F.sum("dist2").alias("inertia"))
+    return _indices(cluster_stats(labelled, keys), keys).select(*keys, "inertia")
 
 
 def silhouette_points(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -69,59 +76,57 @@ def silhouette_squared(labelled: DataFrame) -> float:
     return ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(data)
 
 
-def davies_bouldin(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean over clusters of the worst ratio of summed spreads to centroid distance; fewer than two clusters give 0."""
-    spread = (
-        _with_own_distance(labelled, keys)
-        .groupBy(*keys, "cluster")
-        .agg(F.avg(F.sqrt("dist2")).alias("spread"), F.first("centroid").alias("centroid"))
+def _indices(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inertia, Davies-Bouldin and Calinski-Harabasz from the per-cluster table.
+
+    The clusters of a model travel as one array as long as k. Undefined cases give 0.
+    """
+    table = stats.groupBy(*keys).agg(
+        F.collect_list(F.struct("cluster", "spread", "centroid", "members")).alias("_cs"),
+        F.sum("within").alias("inertia"), F.sum("members").alias("_n"), F.count(F.lit(1)).alias("_k"),
     )
-    # One entry per cluster of a model, so the list is as long as k.
-    table = spread.groupBy(*keys).agg(F.collect_list(F.struct("cluster", "spread", "centroid")).alias("cs"))
 
-    def distance(a, b):
-        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
+    def dist2(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
 
     worst = F.transform(
-        "cs",
+        "_cs",
         lambda i: F.array_max(
             F.transform(
-                F.filter("cs", lambda j: j["cluster"] != i["cluster"]),
-                lambda j: F.coalesce(F.try_divide(i["spread"] + j["spread"], distance(i["centroid"], j["centroid"])), F.lit(0.0)),
+                F.filter("_cs", lambda j: j["cluster"] != i["cluster"]),
+                lambda j: F.coalesce(F.try_divide(i["spread"] + j["spread"], F.sqrt(dist2(i["centroid"], j["centroid"]))), F.lit(0.0)),
             )
         ),
     )
-    mean = F.aggregate(worst, F.lit(0.0), lambda s, v: s + v) / F.size("cs")
-    return table.select(*keys, F.coalesce(mean, F.lit(0.0)).alias("davies_bouldin"))
+    ratio = F.aggregate(worst, F.lit(0.0), lambda s, v: s + v) / F.size("_cs")
+    first = F.element_at("_cs", 1)["centroid"]
+    grand = F.aggregate(
+        "_cs", F.transform(first, lambda _: F.lit(0.0)),
+        lambda s, c: F.zip_with(s, c["centroid"], lambda t, v: t + v * c["members"] / F.col("_n")),
+    )
+    between = F.aggregate("_cs", F.lit(0.0), lambda s, c: s + c["members"] * dist2(c["centroid"], F.col("_grand")))
+    out = table.withColumn("_grand", grand).withColumn("_b", between)
+    ch = F.try_divide(F.col("_b") * (F.col("_n") - F.col("_k")), F.col("inertia") * (F.col("_k") - 1))
+    undefined = (F.col("_k") < 2) | (F.col("_n") <= F.col("_k"))
+    return out.select(
+        *keys, "inertia", F.coalesce(ratio, F.lit(0.0)).alias("davies_bouldin"),
+        F.coalesce(F.when(undefined, 0.0).when(F.col("inertia") == 0, 1.0).otherwise(ch), F.lit(0.0)).alias("calinski_harabasz"),
+    )
+
+
+def davies_bouldin(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean over clusters of the worst ratio of summed spreads to centroid distance; fewer than two clusters give 0."""
+    return _indices(cluster_stats(labelled, keys), keys).select(*keys, "davies_bouldin")
 
 
 def calinski_harabasz(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Between over within dispersion, each per degree of freedom; undefined cases give 0."""
-    per_cluster = (
-        _with_own_distance(labelled, keys)
-        .groupBy(*keys, "cluster")
-        .agg(F.sum("dist2").alias("_w"), F.count(F.lit(1)).alias("_m"), F.first("centroid").alias("centroid"))
-    )
-    grand = centroids(labelled.withColumn("cluster", F.lit(0)), keys).select(*keys, F.col("centroid").alias("grand"))
-    parts = (
-        per_cluster.join(grand, list(keys))
-        .withColumn("_b", F.col("_m") * squared_distance("centroid", "grand"))
-        .groupBy(*keys)
-        .agg(F.sum("_b").alias("_b"), F.sum("_w").alias("_w"), F.sum("_m").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    )
-    ratio = F.try_divide(F.col("_b") * (F.col("_n") - F.col("_k")), F.col("_w") * (F.col("_k") - 1))
-    value = F.when((F.col("_k") < 2) | (F.col("_n") <= F.col("_k")), 0.0).when(F.col("_w") == 0, 1.0).otherwise(ratio)
-    return parts.select(*keys, F.coalesce(value, F.lit(0.0)).alias("calinski_harabasz"))
+    return _indices(cluster_stats(labelled, keys), keys).select(*keys, "calinski_harabasz")
 
 
 def validity_table(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inertia and the three validity indices per model."""
-    return (
-        inertia(labelled, keys)
-        .join(silhouette(labelled, keys), list(keys))
-        .join(davies_bouldin(labelled, keys), list(keys))
-        .join(calinski_harabasz(labelled, keys), list(keys))
-    )
+    """Inertia and the three validity indices per model. ``labelled`` is read three times, so hand in a stored table."""
+    return _indices(cluster_stats(labelled, keys), keys).join(silhouette(labelled, keys), list(keys))
 
 
 def best_k(table: DataFrame, keys: Sequence[str]) -> DataFrame:

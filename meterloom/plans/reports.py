@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from meterloom.functions.timeaxis import iso_week, iso_week_year, minute_of_week
 from meterloom.operators import clustering, daily, metrics, reshape, validity
 from meterloom.operators.rowframe import running_share, with_row_index
+from meterloom.session import materialise
 
 KEYS = ("series_id",)
 
@@ -77,7 +78,7 @@ def cluster_members(slots: DataFrame, labels: DataFrame, keys: Sequence[str] = K
 def validity_curves(vectors: DataFrame, ks: Sequence[int] = tuple(range(2, 10)), keys: Sequence[str] = KEYS, restarts: int = clustering.RESTARTS) -> DataFrame:
     """Inertia and validity indices for every k (elbow and index curves)."""
     labels = clustering.cluster_days(vectors, ks, keys, restarts).drop("inertia")
-    labelled = labels.join(vectors, [*keys, "date"])
+    labelled = materialise(labels.join(vectors, [*keys, "date"]), "labelled")
     return validity.validity_table(labelled, [*keys, "k"])
 
 
@@ -90,8 +91,9 @@ def report_dataset(
     long = reshape.as_targets(panel, targets)
     slots = reshape.drop_empty_days(reshape.day_ordinals(long, "value", keys), keys)
     vectors = reshape.profile_arrays(reshape.pivot_slots(slots, keys, slots_per_day), keys, slots_per_day)
-    labels = clustering.cluster_days(vectors, ks, keys, restarts)
-    labelled = labels.drop("inertia").join(vectors, [*keys, "date"])
+    labels = clustering.cluster_days(vectors, ks, keys, restarts).drop("inertia")
+    labelled = materialise(labels.join(vectors, [*keys, "date"]), "labelled")
+    labels = labelled.drop("vec")
     profiles = clustering.mean_profiles(slots.join(labels, [*keys, "date"]), [*keys, "k"])
     counts = clustering.cluster_sizes(labels, [*keys, "k"])
     return profiles.join(counts, [*keys, "k", "cluster"]), validity.validity_table(labelled, [*keys, "k"])

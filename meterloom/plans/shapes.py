@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from meterloom.operators import clustering, intervals, reshape
 from meterloom.operators.scale import min_max
+from meterloom.session import materialise
 from meterloom.sources.artefacts import write_keyed
 
 KEYS = ["series_id", "variant"]
@@ -43,7 +44,8 @@ def shape_days(
     means = intervals.interval_means_wide(scaled, "scaled", KEYS, configs)
     vectors = intervals.interval_vectors(means, KEYS, configs)
     if labels is None:
-        labels = clustering.cluster_days(vectors, ks, (*KEYS, "config_id"), restarts)
+        # The fits are run once and stored; everything below reads the stored labels.
+        labels = materialise(clustering.cluster_days(vectors, ks, (*KEYS, "config_id"), restarts), "labels")
     slots = reshape.day_slots(scaled, "scaled", KEYS)
     profiles = clustering.mean_profiles(clustering.attach_labels(slots, labels.drop("inertia"), KEYS), MODEL)
     return Shapes(slots, means, vectors, labels, profiles)
