@@ -103,37 +103,46 @@ def _kernel_map(params: Mapping, train: DataFrame) -> Callable[[DataFrame], Data
 # ---- classifiers -------------------------------------------------------------------------------------------------
 
 
-def _one_against_rest(
-    build: Callable[[], object], prepare: Callable[[DataFrame], DataFrame], train: DataFrame, n_classes: int
+def _by_binary_fits(
+    build: Callable[[], object], prepare: Callable[[DataFrame], DataFrame], train: DataFrame, n_classes: int, pairwise: bool
 ) -> tuple[Callable[[DataFrame], DataFrame], tuple]:
-    """One margin per class from binary fits that run side by side, and probabilities by a logistic fit on the margins.
+    """Several classes from binary fits that run side by side, and probabilities by a logistic fit on their margins.
 
-    Everything stays in column expressions, so scoring needs no Python on the rows.
+    ``pairwise`` fits every pair of classes and lets them vote; otherwise each class is fitted against the rest and the
+    largest margin wins. Scoring stays in column expressions, so no Python touches the rows.
     """
     ready = prepare(train)
     present = sorted(int(r["label"]) for r in train.select("label").distinct().toLocalIterator())
     if len(present) < 2:
         raise ValueError("a classifier needs at least two classes")
-    wanted = present[1:] if len(present) == 2 else present
+    if pairwise or len(present) == 2:
+        duels = [(b, a) for i, a in enumerate(present) for b in present[i + 1 :]]
+    else:
+        duels = [(c, None) for c in present]
 
-    def fit(c: int):
-        return build().fit(ready.withColumn("label", (F.col("label") == c).cast("double")))
+    def fit(first: int, second: int | None):
+        rows = ready if second is None else ready.filter(F.col("label").isin(first, second))
+        return build().fit(rows.withColumn("label", (F.col("label") == first).cast("double")))
 
-    fitted = run_parallel([(lambda c=c: fit(c)) for c in wanted])
+    fitted = run_parallel([(lambda d=d: fit(*d)) for d in duels])
+    names = [f"_m{i}" for i in range(len(duels))]
 
     def margins(df: DataFrame) -> DataFrame:
         out = prepare(df)
         keep = out.columns
-        for c, m in zip(wanted, fitted):
-            out = m.transform(out).withColumn(f"_m{c}", vector_to_array("rawPrediction")[1])
-            out = out.select(*keep, *[f"_m{x}" for x in wanted if f"_m{x}" in out.columns])
-        cells = [F.col(f"_m{c}") for c in wanted]
-        if len(wanted) == 1:
-            chosen = F.when(cells[0] > 0, wanted[0]).otherwise(present[0])
+        for i, m in enumerate(fitted):
+            out = m.transform(out).withColumn(names[i], vector_to_array("rawPrediction")[1]).select(*keep, *names[: i + 1])
+        if duels[0][1] is None:
+            support = {c: F.col(n) for n, (c, _) in zip(names, duels)}
         else:
-            ranked = F.array_max(F.array(*[F.struct(m.alias("m"), F.lit(-c).alias("c")) for c, m in zip(wanted, cells)]))
-            chosen = -ranked["c"]
-        return out.withColumn("prediction", chosen.cast("int")).withColumn("_margins", array_to_vector(F.array(*cells))).drop(*[f"_m{c}" for c in wanted])
+            support = {c: F.lit(0) for c in present}
+            for n, (first, second) in zip(names, duels):
+                won = F.col(n) > 0
+                support[first] = support[first] + won.cast("int")
+                support[second] = support[second] + (~won).cast("int")
+        best = F.array_max(F.array(*[F.struct(v.cast("double").alias("v"), F.lit(-c).alias("c")) for c, v in support.items()]))
+        cells = F.array(*[F.col(n) for n in names])
+        return out.withColumn("prediction", (-best["c"]).cast("int")).withColumn("_margins", array_to_vector(cells)).drop(*names)
 
     link = LogisticRegression(
         featuresCol="_margins", probabilityCol="_prob", predictionCol="_p", rawPredictionCol="_r", regParam=1e-4, standardization=False, maxIter=50, tol=LOGISTIC_TOLERANCE,
@@ -205,14 +214,14 @@ def fit_classifier(name: str, params: Mapping, train: DataFrame, n_classes: int)
         if n_classes == 2:
             est = booster
         else:
-            return Fitted(name, *_one_against_rest(lambda: GBTClassifier(**_boosting_params(params)), lambda d: d, train, n_classes))
+            return Fitted(name, *_by_binary_fits(lambda: GBTClassifier(**_boosting_params(params)), lambda d: d, train, n_classes, pairwise=False))
     elif name in ("SVM Linear", "SVM Non-Linear"):
         n = train.count()
         prepare = _kernel_map(params, train) if name == "SVM Non-Linear" else (lambda d: d)
         col = "mapped" if name == "SVM Non-Linear" else "features"
         penalty = 1.0 / (n * float(params.get("C", 1.0)))
         build = lambda: LinearSVC(featuresCol=col, regParam=penalty, standardization=False, maxIter=100, tol=SVM_TOLERANCE)
-        return Fitted(name, *_one_against_rest(build, prepare, train, n_classes))
+        return Fitted(name, *_by_binary_fits(build, prepare, train, n_classes, pairwise=True))
     else:
         raise ValueError(f"unknown classifier {name!r}")
     model = est.fit(train)

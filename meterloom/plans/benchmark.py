@@ -15,6 +15,7 @@ from meterloom.operators.rowframe import with_row_index
 from meterloom.operators.scale import standardise
 from meterloom.plans.persistence import LAST_DAY, LAST_WEEK, with_persistence
 from meterloom.plans.walkforward import walk_forward_linear, with_arma_errors
+from meterloom.session import materialise
 from meterloom.sources.holidays import holiday_table
 
 # Model names, and the output column of each model.
@@ -89,7 +90,8 @@ def additive(rows: DataFrame, test_start: str) -> DataFrame:
 
 def benchmark_forecasts(panel: DataFrame, test_start: str, value: str = "total", models: Sequence[str] = tuple(COLUMNS)) -> DataFrame:
     """Day-ahead forecasts of every model for every row: series_id, ts, rn, series_rows, model, actual, predicted."""
-    rows = benchmark_rows(panel, test_start, value)
+    # Stored once: every model below reads these rows several times.
+    rows = materialise(benchmark_rows(panel, test_start, value), "benchmark-rows")
     parts = []
     if LAST_DAY in models or LAST_WEEK in models:
         p = with_persistence(rows)

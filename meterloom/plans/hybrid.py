@@ -119,14 +119,14 @@ def predict_per_series(scaled: DataFrame, labels: DataFrame, n_classes: int, alp
     """The same table from closed-form learners fitted for every series, setting and fold in one plan, without loops:
     Gaussian naive Bayes for the shape and ridge regression for the peak."""
     features = daily.feature_columns(trailing)
-    days = scaled.dropna(subset=features)
+    days = materialise(scaled.dropna(subset=features).select(*DAY, "role", "peak", *features), "day-features")
     model = [*DAY[:3], "config_id", "k"]
     own = labels.select("series_id", "variant", "config_id", "k", "date", "cluster")
     train = days.filter("role = 'train'")
     test = days.filter("role = 'test'")
     bayes = closedform.bayes_fit(train.join(own, ["series_id", "variant", "date"]), features, "cluster", model, var_smoothing)
-    runs = bayes.select(*model).distinct()
-    shapes = closedform.bayes_predict(test.join(runs, DAY[:3]), bayes, features, n_classes, model)
+    runs = own.select("series_id", "variant", "config_id", "k").distinct()
+    shapes = closedform.bayes_predict(test.join(runs, ["series_id", "variant"]), bayes, features, n_classes, model)
     shapes = shapes.select(*DAY, "config_id", "k", F.col("prediction").alias("cluster"), "probs")
     ridge = closedform.linear_fit(train, features, "peak", DAY[:3], alpha)
     peaks = closedform.linear_predict(test, ridge, features, DAY[:3], "predicted_peak")

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterloom.operators.rowframe import with_frames
+from meterloom.session import materialise
 
 KEYS = ("series_id",)
 LONG_AR = 20
@@ -163,6 +164,8 @@ def with_arma_errors(rows: DataFrame, keys: Sequence[str] = KEYS, order: int = L
     """
     keys = list(keys)
     top = order + 1
+    # Fits and residuals are stored before they are read by the lag products, the day table and the final join.
+    rows = materialise(rows, "fitted-rows")
     known = rows.filter(F.col("residual").isNotNull())
     lagged = with_frames(known.select(*keys, "date", "rn", "residual"), {"past": (F.collect_list("residual"), -top, 0)}, keys)
     product = lambda l: F.when(F.size("past") > l, F.col("residual") * F.element_at("past", -(l + 1))).otherwise(0.0)
