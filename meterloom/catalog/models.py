@@ -166,6 +166,29 @@ def j16_ridge(spark, sf):
     return closedform.linear_predict(test, closedform.linear_fit(train, _TWO, "load_max", alpha=10.0), _TWO)
 
 
+def _pooled_sql(alpha: float) -> str:
+    return f"""WITH t AS (SELECT temperature AS x, radiation_sum AS z, load_max AS y FROM days WHERE date < DATE '2024-01-24'),
+ g AS (SELECT avg(x) AS mx, avg(z) AS mz, avg(y) AS my, covar_pop(x, x) + {alpha} / count(*) AS xx, covar_pop(z, z) + {alpha} / count(*) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM t),
+ b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b1, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b2 FROM g)
+ SELECT d.series_id, d.date, my + b1 * (d.temperature - mx) + b2 * (d.radiation_sum - mz) AS prediction FROM days d, b WHERE d.date >= DATE '2024-01-24'"""
+
+
+def _pooled_two(spark, sf, params):
+    _, train, test = _train_test(spark, sf)
+    train = materialise(models.assemble(train.withColumn("label", F.col("load_max")), _TWO), "two")
+    return models.fit_regressor("Linear Regression", params, train).transform(models.assemble(test, _TWO))
+
+
+@register("j16_least_squares_pooled", "series_id date:d prediction:4", _pooled_sql(0))
+def j16_pooled(spark, sf):
+    return _pooled_two(spark, sf, {"reg_type": "none"})
+
+
+@register("j16_ridge_two_features_pooled", "series_id date:d prediction:4", _pooled_sql(50.0))
+def j16_ridge_two(spark, sf):
+    return _pooled_two(spark, sf, {"reg_type": "ridge", "alpha": 50.0})
+
+
 @register("j18_clipped_regression", "series_id date:d prediction:5",
           _ols_sql(0, "load_max - 150", "greatest(b0 + b1 * d.temperature + b2 * d.radiation_sum, 0)"))
 def j18(spark, sf):

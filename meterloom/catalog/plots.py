@@ -125,7 +125,15 @@ def l13(spark, sf):
     return reports.day_profile(panels.events_panel(spark, sf), "2024-01-10").withColumnRenamed("total_cumsum_normalized", "share")
 
 
-@register("l14_model_surface", "radiation_sum:6 temperature:6 prediction:6")
+_SURFACE = """WITH g AS (SELECT avg(radiation_sum) AS mx, avg(temperature) AS mz, avg(load_max) AS my, min(radiation_sum) AS x0, max(radiation_sum) AS x1, min(temperature) AS z0, max(temperature) AS z1,
+   covar_pop(radiation_sum, radiation_sum) AS xx, covar_pop(temperature, temperature) AS zz, covar_pop(radiation_sum, temperature) AS xz,
+   covar_pop(radiation_sum, load_max) AS xy, covar_pop(temperature, load_max) AS zy FROM days),
+ b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b1, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b2 FROM g),
+ p AS (SELECT x0 + (x1 - x0) * i.i / 49.0 AS x, z0 + (z1 - z0) * j.j / 49.0 AS z, b.* FROM b, generate_series(0, 49) i(i), generate_series(0, 49) j(j))
+ SELECT x AS radiation_sum, z AS temperature, my + b1 * (x - mx) + b2 * (z - mz) AS prediction FROM p"""
+
+
+@register("l14_model_surface", "radiation_sum:6 temperature:6 prediction:4", _SURFACE)
 def l14(spark, sf):
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler

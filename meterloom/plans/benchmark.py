@@ -48,16 +48,22 @@ def benchmark_rows(panel: DataFrame, test_start: str, value: str = "total", holi
     return scaled.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in REGRESSORS})
 
 
+def _light_ridge(design: Sequence[Column]) -> list[float]:
+    """Worth about two rows of data per term and none for the level: it fades with the history, but keeps terms in check
+    that a short history cannot tell apart, such as weekly harmonics on two days."""
+    return [1e-6] + [1.0] * (len(design) - 1)
+
+
 def arma_weekly(rows: DataFrame, order: int = 10) -> DataFrame:
     """ARMA(2,1) errors around weekly harmonics."""
     design = [F.lit(1.0), *fourier_terms("rn", SLOTS_PER_WEEK, order).values()]
-    return with_arma_errors(walk_forward_linear(rows, design))
+    return with_arma_errors(walk_forward_linear(rows, design, penalty=_light_ridge(design)))
 
 
 def arma_full(rows: DataFrame, order: int = 5) -> DataFrame:
     """ARMA(2,1) errors around daily harmonics, scaled weather and scaled calendar flags."""
     design = [F.lit(1.0), *fourier_terms("rn", SLOTS_PER_DAY, order).values(), *[F.col(c) for c in REGRESSORS]]
-    return with_arma_errors(walk_forward_linear(rows, design))
+    return with_arma_errors(walk_forward_linear(rows, design, penalty=_light_ridge(design)))
 
 
 def _harmonics(phase: Column, order: int) -> list[Column]:

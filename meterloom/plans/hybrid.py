@@ -93,8 +93,8 @@ def predict_with_models(
     One fit per (setting, fold, classifier) and one per (variant, fold, regressor) over the days of all series; pairs
     are formed by a join of the two prediction tables and cost no further fit. ``settings`` lists (variant, k, config).
     """
-    table = materialise(_complete(scaled, trailing).select(*DAY, "role", "features", "peak"), "day-matrix")
-    known = materialise(labels.select("series_id", "variant", "config_id", "k", "date", "cluster"), "labels")
+    table = materialise(_complete(scaled, trailing).select(*DAY, "role", "features", "peak"), "day-matrix", ["variant", "fold"])
+    known = materialise(labels.select("series_id", "variant", "config_id", "k", "date", "cluster"), "labels", ["variant", "k", "config_id"])
 
     def classify(variant, k, config, fold, name, params):
         days = table.filter((F.col("variant") == variant) & (F.col("fold") == fold))

@@ -50,14 +50,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/meterloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df, name: str = "stage"):
+def materialise(df, name: str = "stage", partition_by: Sequence[str] = ()):
     """Cut lineage by writing ``df`` to the shared folder and reading it back.
 
-    Unlike a cache, the copy outlives the executors that produced it.
+    Unlike a cache, the copy outlives the executors that produced it. ``partition_by`` names columns that later filters
+    select on, so that they prune folders.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def run_parallel(jobs: Sequence[Callable], workers: int = 4) -> list:

@@ -36,7 +36,8 @@ def read_series_csv(
     schema = T.StructType(([T.StructField("series_id", T.StringType())] if by_series else []) + SERIES_CSV_SCHEMA.fields)
     raw = spark.read.schema(schema).option("header", True).csv(path)
     key = F.col("series_id") if by_series else F.lit(series_id or "series")
-    out = raw.select(key.alias("series_id"), drop_zone("Date").alias("ts"), *columns)
+    utc = F.to_utc_timestamp("Date", F.current_timezone())
+    out = raw.select(key.alias("series_id"), drop_zone(utc).alias("ts"), *columns)
     return nan_to_null(out, list(columns))
 
 
