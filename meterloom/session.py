@@ -50,7 +50,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/meterloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df, name: str = "stage", partition_by: Sequence[str] = ()):
+def materialise(df, name: str = "stage", partition_by: Sequence[str] = (), compression: str | None = None):
     """Cut lineage by writing ``df`` to the shared folder and reading it back.
 
     Unlike a cache, the copy outlives the executors that produced it. ``partition_by`` names columns that later filters
@@ -58,6 +58,8 @@ def materialise(df, name: str = "stage", partition_by: Sequence[str] = ()):
     """
     path = scratch_path(df.sparkSession, name)
     writer = df.write.mode("overwrite")
+    if compression:
+        writer = writer.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
