@@ -5,12 +5,12 @@
    the first that has a value, so every range agrees with the probability of the Jaccard similarity. Ranges in groups of
    :data:`ROWS` make ``BINS / ROWS`` bucket keys; a pair at the threshold of 0.8 is missed with probability 5e-8.
 2. Documents of equal sets are one node, their smallest id.
-3. Each bucket gives a star: an edge from every member to its smallest member, so a bucket of n nodes has n - 1 edges.
+3. Each bucket gives a star: an edge from every member to its centre, so a bucket of n nodes has n - 1 edges. The centre is the
+   member with the most bucket mates in all its bands, as the origin of a family of copies is, not a copy far from it.
    Edges are confirmed on the full sets of both texts.
-4. A star may leave members of a bucket in different components. Such buckets go on: each round takes further members as
-   centres (twice as many as in the round before) and compares them with the members of *other* components only, until all
-   pairs of members were compared or are connected. So no link is lost to the star shape and none is capped, and a bucket
-   whose members are one component after the first star costs nothing more.
+4. Members that share a centre but are in different components after that are compared with each other, so no link is lost
+   to the star shape: those outside the largest component of their centre against all, in cells of about :data:`CELL` by
+   :data:`CELL` texts. A cell gives links alone; pairs are counted by a product of set matrices and never become rows.
 5. Components of the confirmed edges.
 
 Words are runs of other bytes than ``[\\x20\\x09-\\x0D]`` after lower-casing A-Z. Shingles are compared as 64-bit hashes. A text of
@@ -35,6 +35,7 @@ from meterloom.llm.tables import whole_row
 from meterloom.session import materialise
 
 BINS, ROWS = 128, 4
+CELL = 128
 
 
 def densification_order(bins: int = BINS) -> np.ndarray:
@@ -118,6 +119,71 @@ def confirmed(edges: DataFrame, docs: DataFrame, k: int, percent: int, id_col: s
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def star_edges(nodes: DataFrame) -> DataFrame:
+    """``a, b``: every node and each centre of its buckets, from ``node, bands``."""
+    in_bucket = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
+    shared = in_bucket.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialise(in_bucket.join(shared, "bucket"), "buckets")
+    mates = members.groupBy("node").agg(F.sum("n").alias("mates"))
+    centres = members.join(mates, "node").groupBy("bucket").agg(F.max_by("node", F.struct("mates", -F.col("node"))).alias("b"))
+    return members.select("bucket", F.col("node").alias("a")).join(centres, "bucket").where("a <> b").select("a", "b").distinct()
+
+
+def cell_links(first: list[np.ndarray], second: list[np.ndarray], allowed: np.ndarray, percent: int, width: int = 4096) -> np.ndarray:
+    """Pairs ``(i, j)`` of two lists of sets that are allowed and similar enough; intersections by a product of 0/1 matrices."""
+    size = [np.array([len(s) for s in x]) for x in (first, second)]
+    least, most = np.minimum.outer(*size), np.maximum.outer(*size)
+    allowed = allowed & (100 * least >= percent * most)
+    rows, columns = np.flatnonzero(allowed.any(1)), np.flatnonzero(allowed.any(0))
+    if not len(rows):
+        return np.zeros((0, 2), np.int64)
+    x, y = [first[i] for i in rows], [second[j] for j in columns]
+    value, at = np.unique(np.concatenate(x + y), return_inverse=True)
+    owner = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in x + y])
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    common = np.zeros((len(x), len(y)), np.float32)
+    for start in range(0, len(value), width):
+        lo, hi = np.searchsorted(at, (start, start + width))
+        dense = np.zeros((len(x) + len(y), width), np.float32)
+        dense[owner[lo:hi], at[lo:hi] - start] = 1
+        common += dense[: len(x)] @ dense[len(x) :].T
+    n = common.astype(np.int64)
+    union = np.add.outer(size[0][rows], size[1][columns]) - n
+    i, j = np.nonzero(allowed[np.ix_(rows, columns)] & (n > 0) & (100 * n >= percent * union))
+    return np.stack([rows[i], columns[j]], 1)
+
+
+def rest_links(edges: DataFrame, parts: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links ``a, b`` between nodes that share a centre (``edges``: node, centre) and are in different components of ``parts``."""
+    placed = materialise(edges.withColumnRenamed("a", "node").join(parts, "node", "left").select(
+        "node", F.col("b").alias("centre"), F.coalesce("component", "node").alias("component")), "placed")
+    sizes = placed.groupBy("centre", "component").agg(F.count("*").alias("n"))
+    groups = sizes.groupBy("centre").agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.max_by("component", F.struct("n", "component")).alias("main"))
+    groups = materialise(groups.where("all > top").select(
+        "centre", "main", F.ceil(F.col("all") / CELL).cast("int").alias("columns"), F.ceil((F.col("all") - F.col("top")) / CELL).cast("int").alias("rows")), "groups")
+    members = placed.join(groups, "centre")
+    lot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    left = members.where("component <> main").select("centre", lot("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), F.lit(True).alias("row"), "node", "component")
+    right = members.select("centre", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), lot("columns").alias("j"), F.lit(False).alias("row"), "node", "component")
+    cells = materialise(left.union(right), "cells")
+    text = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    text = materialise(text.join(cells.select("node").distinct(), "node", "left_semi"), "texts")
+
+    def run(table: pa.Table) -> pa.Table:
+        node, part, row = (table.column(c).to_numpy() for c in ("node", "component", "row"))
+        sets = []
+        for _, _, data, limits in blocks(table.column("text")):
+            value, first = Words(data, limits, lower=True).shingles(k)
+            sets += [np.unique(value[x:y]) for x, y in zip(first[:-1], first[1:])]
+        x, y = np.flatnonzero(row), np.flatnonzero(~row)
+        found = cell_links([sets[i] for i in x], [sets[j] for j in y], part[x][:, None] != part[y][None, :], percent)
+        a, b = node[x[found[:, 0]]], node[y[found[:, 1]]]
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    return cells.join(text, "node").groupBy("centre", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                     bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """Per row of ``docs``: ``id_col, n_shingles, component_id, kept``; ``component_id`` is the smallest id reachable."""
@@ -125,35 +191,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     nodes = materialise(
         sketch.where("bands is not null and id is not null").groupBy("set_key", "n_shingles")
         .agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "nodes")  # equal sets have equal bands
-    in_bucket = nodes.select("node", F.explode("bands").alias("bucket")).distinct()
-    shared = in_bucket.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    stars = in_bucket.join(shared, "bucket")
-    members = materialise(stars.select("bucket", "node", "centre", "n"), "buckets")
-
-    links = materialise(confirmed(members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(),
-                                  docs, k, percent, id_col, text_col), "links")
-    parts = materialise(connected_components(links), "components")
-    open_members, turn = members.where("node <> centre").select("bucket", "node"), 1
-    while True:
-        placed = materialise(open_members.join(parts, "node", "left").select(
-            "bucket", "node", F.coalesce("component", "node").alias("component")), "placed")
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.min("node").alias("least"))
-        mixed = mixed.where("lo <> hi").select("bucket", "n", "least")
-        active = materialise(placed.join(mixed, "bucket"), "open")
-        if active.isEmpty():
-            break
-        # Centres of this round: the smallest member and, by hash, about 2**turn - 1 more.
-        lot = F.pmod(F.xxhash64("bucket", "node", F.lit(turn)), F.col("n"))
-        chosen = active.withColumn("centre", (F.col("node") == F.col("least")) | (lot < F.lit(2**turn - 1)))
-        centres = chosen.where("centre").select("bucket", F.col("node").alias("b"), F.col("component").alias("of"))
-        pairs = chosen.join(centres, "bucket").where("component <> of and (not centre or node > b)").select(
-            F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        new = materialise(confirmed(materialise(pairs, "pairs"), docs, k, percent, id_col, text_col), "links")
-        if not new.isEmpty():
-            links = links.union(new)
-            parts = materialise(connected_components(links), "components")
-        open_members, turn = chosen.where("not centre").select("bucket", "node"), turn + 1
-
+    edges = materialise(star_edges(nodes), "star_edges")
+    links = materialise(confirmed(edges, docs, k, percent, id_col, text_col), "links")
+    parts = connected_components(links)
+    more = materialise(rest_links(edges, parts, docs, k, percent, id_col, text_col), "links")
+    if not more.isEmpty():
+        parts = connected_components(links.union(more))
     named = nodes.join(parts, "node", "left").select("set_key", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     out = sketch.select("id", "n_shingles", "set_key").join(named, ["set_key", "n_shingles"], "left").select(
         F.col("id").alias(id_col), "n_shingles",
