@@ -91,8 +91,9 @@ def test_null_ids(spark):
 
 
 def test_patience_aligns_moved_and_repeated_lines():
-    kept = line_dedup.patience([0, 1, 2, 5], [3, 4, 5, 9])
-    assert kept == [0, 1, 2, 3]
+    assert line_dedup.patience([([0], [3]), ([1], [4]), ([2], [5]), ([5], [9])]) == [(0, 3), (1, 4), (2, 5), (5, 9)]
+    # The moved card leaves the rising run; the repeated line is matched in order, between the cards around it.
+    assert line_dedup.patience([([0], [9]), ([1], [0]), ([4], [3]), ([2, 3, 7], [1, 2, 4, 8])]) == [(1, 0), (2, 1), (3, 2), (4, 3), (7, 4)]
     assert line_dedup.rising([5, 1, 2, 9, 3]) in ([1, 2, 4], [1, 2, 3])
 
 
@@ -110,6 +111,14 @@ def test_line_dedup_deletes_common_blocks_from_the_later_document(spark):
     assert found[2]["row"]["keep_id"] == 7
 
 
+def test_line_dedup_of_documents_that_repeat_a_line_many_times(spark):
+    line = "the very same line stands here over and over again"
+    rows = [(i, "\n".join([f"head {i}", *[line] * 3000, f"tail {i}"])) for i in range(1, 5)]
+    found = {r["id"]: r for r in line_dedup.deduplicate_lines(frame(spark, rows)).collect()}
+    assert found[1]["clean_text"] == rows[0][1]
+    assert all(found[i]["clean_text"] == f"head {i}\ntail {i}" and found[i]["partners"] == [1] for i in (2, 3, 4))
+
+
 def test_line_dedup_leaves_one_copy_of_each_line(spark, sf_documents):
     found = line_dedup.deduplicate_lines(sf_documents).collect()
     before = {x.strip(" \t\n\v\f\r") for r in found for x in (r["row"]["text"] or "").split("\n")}
