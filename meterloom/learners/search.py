@@ -53,7 +53,7 @@ def _search(names, n_trials, space, seed, score) -> list[tuple]:
 
 def search_classifiers(
     data: DataFrame, n_classes: int, n_trials: int = 50, cv: int = 3, exclude: Iterable[str] = (), seed: int = 42,
-    space: Mapping[str, list[str]] = spaces.CLASSIFIER_SPACES,
+    space: Mapping[str, list[tuple]] = spaces.CLASSIFIER_SPACES,
 ) -> DataFrame:
     """Maximise mean fold accuracy over an unshuffled stratified split.
 
@@ -74,7 +74,7 @@ def search_classifiers(
 
 def search_regressors(
     data: DataFrame, n_trials: int = 50, cv: int = 3, exclude: Iterable[str] = (), seed: int = 42,
-    space: Mapping[str, list[str]] = spaces.REGRESSOR_SPACES,
+    space: Mapping[str, list[tuple]] = spaces.REGRESSOR_SPACES,
 ) -> DataFrame:
     """Maximise the negative mean squared error over a contiguous k-fold split."""
     indexed = data if "rn" in data.columns else folds.with_day_index(data)

@@ -10,10 +10,22 @@ from meterloom.functions.timeaxis import SLOT_MINUTES, minute_of_day
 
 # The four interval catalogues, as start and end times of each interval I1, I2, ...
 CATALOGUES = {
-    1: "01:00-06:00 06:00-08:00 08:00-12:00 12:00-15:00 15:00-18:00 18:00-21:30 21:00-01:00",
-    2: "01:00-06:00 06:00-07:00 07:00-08:00 08:00-09:00 09:00-10:00 10:00-12:00 12:00-15:00 15:00-18:00 18:00-21:30 21:00-01:00",
-    3: "01:00-06:00 06:00-08:00 08:00-10:00 10:00-12:00 12:00-15:00 15:00-18:00 18:00-21:30 21:00-01:00",
-    4: "01:00-06:00 06:00-08:00 08:00-12:00 12:00-14:00 14:00-15:00 15:00-18:00 18:00-21:30 21:00-01:00",
+    1: [
+        ("01:00", "06:00"), ("06:00", "08:00"), ("08:00", "12:00"), ("12:00", "15:00"),
+        ("15:00", "18:00"), ("18:00", "21:30"), ("21:00", "01:00"),
+    ],
+    2: [
+        ("01:00", "06:00"), ("06:00", "07:00"), ("07:00", "08:00"), ("08:00", "09:00"), ("09:00", "10:00"), ("10:00", "12:00"), ("12:00", "15:00"),
+        ("15:00", "18:00"), ("18:00", "21:30"), ("21:00", "01:00"),
+    ],
+    3: [
+        ("01:00", "06:00"), ("06:00", "08:00"), ("08:00", "10:00"), ("10:00", "12:00"), ("12:00", "15:00"),
+        ("15:00", "18:00"), ("18:00", "21:30"), ("21:00", "01:00"),
+    ],
+    4: [
+        ("01:00", "06:00"), ("06:00", "08:00"), ("08:00", "12:00"), ("12:00", "14:00"), ("14:00", "15:00"),
+        ("15:00", "18:00"), ("18:00", "21:30"), ("21:00", "01:00"),
+    ],
 }
 
 
@@ -26,8 +38,7 @@ def interval_rows(configs: Sequence[int] | None = None) -> list[tuple[int, str,
     """(config_id, ival, start minute, end minute) of the chosen catalogues."""
     out = []
     for config in configs or list(CATALOGUES):
-        for i, span in enumerate(CATALOGUES[config].split(), 1):
-            start, end = span.split("-")
+        for i, (start, end) in enumerate(CATALOGUES[config], 1):
             out.append((config, f"I{i}", _minutes(start), _minutes(end)))
     return out
 

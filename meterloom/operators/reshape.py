@@ -55,18 +55,23 @@ def drop_empty_days(slots: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def pivot_slots(slots: DataFrame, keys: Sequence[str] = KEYS, n_slots: int = SLOTS_PER_DAY, strict: bool = True) -> DataFrame:
     """Wide day profile with columns ``s0 .. s{n-1}``.
 
-    The slot list is given, so no job is spent on finding it. With ``strict`` a repeated slot fails the query.
+    The number of slots is given, so no job is spent on finding it; a reading outside them fails the query. With ``strict`` a
+    repeated slot does so too. The checks are a filter, which stays whichever columns are read.
     """
     cells = [F.max(F.when(F.col("slot") == s, F.col("value"))).alias(f"s{s}") for s in range(n_slots)]
+    fail = lambda text: F.raise_error(F.lit(text)).cast("boolean")
+    outside = (F.col("_last") >= n_slots) | (F.col("_first") < 0)
+    ends = [F.min("slot").alias("_first"), F.max("slot").alias("_last")]
+    sound = F.when(outside, fail(f"a reading lies outside the {n_slots} slots of a day"))
     if not strict:
-        return slots.groupBy(*keys, "date").agg(*cells)
+        return slots.groupBy(*keys, "date").agg(*cells, *ends).filter(sound.otherwise(F.lit(True))).drop("_first", "_last")
     # The slots seen are kept as bits, 64 to a word; more readings than bits means that some slot came twice.
     words = range((n_slots + 63) // 64)
     seen = [F.bit_or(F.when(F.floor(F.col("slot") / 64) == w, F.expr("shiftleft(1L, cast(slot % 64 as int))"))).alias(f"_w{w}") for w in words]
-    days = slots.groupBy(*keys, "date").agg(*cells, *seen, F.count("slot").alias("_readings"))
+    days = slots.groupBy(*keys, "date").agg(*cells, *seen, *ends, F.count("slot").alias("_readings"))
     distinct = sum((F.coalesce(F.bit_count(F.col(f"_w{w}")), F.lit(0)) for w in words), F.lit(0))
-    checked = F.when(F.col("_readings") > distinct, F.raise_error(F.lit("two readings for one day and slot")).cast("date")).otherwise(F.col("date"))
-    return days.withColumn("date", checked).drop("_readings", *[f"_w{w}" for w in words])
+    sound = sound.when(F.col("_readings") > distinct, fail("two readings for one day and slot")).otherwise(F.lit(True))
+    return days.filter(sound).drop("_readings", "_first", "_last", *[f"_w{w}" for w in words])
 
 
 def melt_slots(wide: DataFrame, keys: Sequence[str] = KEYS, n_slots: int = SLOTS_PER_DAY, value: str = "value") -> DataFrame:

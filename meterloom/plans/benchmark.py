@@ -16,7 +16,7 @@ from meterloom.operators.scale import standardise
 from meterloom.plans.persistence import LAST_DAY, LAST_WEEK, with_persistence
 from meterloom.plans.walkforward import walk_forward_linear, with_arma_errors
 from meterloom.session import materialise
-from meterloom.sources.holidays import holiday_table
+from meterloom.sources.holidays import with_holiday_flag
 
 # Model names, and the output column of each model.
 ARMA_WEEKLY, ARMA_FULL, ADDITIVE = "ARIMA + Fourier", "ARIMAX Full", "Additive"
@@ -35,10 +35,9 @@ def benchmark_rows(panel: DataFrame, test_start: str, value: str = "total", holi
     """
     known = panel.drop("date", "ordinal", "rn", "series_rows").filter(F.col(value).isNotNull())
     rows = with_row_index(known.select("series_id", "ts", F.col(value).alias("total"), "temperature", "radiation"))
-    flags = (holidays if holidays is not None else holiday_table(panel.sparkSession)).select("date").distinct().withColumn("is_holiday", F.lit(1))
-    rows = rows.join(F.broadcast(flags), "date", "left").withColumns(
+    rows = with_holiday_flag(rows, holidays).withColumns(
         {
-            "is_holiday": F.coalesce("is_holiday", F.lit(0)).cast("double"),
+            "is_holiday": F.col("is_holiday").cast("double"),
             "weekday": F.weekday("ts").cast("double"),
             "is_weekend": (F.weekday("ts") >= 5).cast("double"),
         }

@@ -19,7 +19,6 @@ from meterloom.session import materialise
 
 KEYS = ("series_id",)
 LONG_AR = 20
-BURN_IN_DAYS = 7
 
 
 def history_sums(panel: DataFrame, terms: Mapping[str, Column], keys: Sequence[str] = KEYS, ts: str = "ts") -> DataFrame:
@@ -155,12 +154,11 @@ def arma21_from_autocovariances(g: np.ndarray, order: int = LONG_AR) -> tuple[np
     return np.array([phi1, phi2, theta]), flt
 
 
-def with_arma_errors(rows: DataFrame, keys: Sequence[str] = KEYS, order: int = LONG_AR, burn_in_days: int = BURN_IN_DAYS, target: str = "predicted") -> DataFrame:
+def with_arma_errors(rows: DataFrame, keys: Sequence[str] = KEYS, order: int = LONG_AR, target: str = "predicted") -> DataFrame:
     """Add ARMA(2,1) error forecasts to ``fitted``.
 
     ``rows`` comes from :func:`walk_forward_linear` and has ``rn`` and ``ordinal``. Lag products of the residuals are
-    summed per day and accumulated over the days before each origin; the first ``burn_in_days`` are left out as soon as
-    there are later ones, because their coefficients are still unsettled.
+    summed per day and accumulated over all days before each origin.
     """
     keys = list(keys)
     top = order + 1
@@ -175,21 +173,10 @@ def with_arma_errors(rows: DataFrame, keys: Sequence[str] = KEYS, order: int = L
     steps = rows.groupBy(*keys, "date").agg(F.max("ordinal").alias("last_ordinal"))
     w = Window.partitionBy(*keys).orderBy("date")
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    settled = F.col("day_no") > burn_in_days
-    numbered = steps.join(per_day, [*keys, "date"], "left").withColumn("day_no", F.row_number().over(w))
-
-    def totals(keep: Column | None) -> Column:
-        pick = (lambda c: F.when(keep, F.col(c))) if keep is not None else F.col
-        lags = [F.coalesce(F.sum(pick(f"g{l}")).over(earlier), F.lit(0.0)) for l in range(top + 1)]
-        return F.struct(F.sum(pick("n")).over(earlier).alias("n"), F.array(*lags).alias("g"))
-
-    # Without a settled day yet, all earlier days have to do.
-    sums = numbered.select(
-        *keys, "date", "last_ordinal", F.last("tail", ignorenulls=True).over(earlier).alias("tail"),
-        totals(settled).alias("late"), totals(None).alias("every"),
-    )
-    chosen = F.when(F.col("late.n") > 0, F.col("late")).otherwise(F.col("every"))
-    origins = sums.withColumn("s", chosen).select(*keys, "date", "last_ordinal", "tail", "s.n", "s.g").filter("n > 0")
+    lags = F.array(*[F.coalesce(F.sum(f"g{l}").over(earlier), F.lit(0.0)) for l in range(top + 1)])
+    origins = steps.join(per_day, [*keys, "date"], "left").select(
+        *keys, "date", "last_ordinal", F.last("tail", ignorenulls=True).over(earlier).alias("tail"), F.sum("n").over(earlier).alias("n"), lags.alias("g")
+    ).filter("n > 0")
 
     def forecast(batches):
         for b in batches:

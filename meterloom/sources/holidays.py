@@ -67,8 +67,17 @@ def holiday_table(
     return table if extra is None else table.unionByName(extra.select("date", "name"))
 
 
+def is_holiday(date: Column, region: str = "murcia") -> Column:
+    """Whether ``date`` is a holiday of its own year, whichever year that is."""
+    year = F.year(date)
+    fixed = [F.make_date(year, F.lit(m), F.lit(d)) for m, d, _ in NATIONAL_DAYS + REGION_DAYS.get(region, [])]
+    moving = [F.date_add(easter_sunday(year), off) for off, _ in EASTER_DAYS]
+    return F.coalesce(F.array_contains(F.array(*fixed, *moving), date), F.lit(False))
+
+
 def with_holiday_flag(days: DataFrame, holidays: DataFrame | None = None, date: str = "date") -> DataFrame:
-    """0/1 holiday flag by lookup. The dimension has a dozen rows per calendar year, so it is always small."""
-    table = holidays if holidays is not None else holiday_table(days.sparkSession)
-    flags = table.select(F.col("date").alias(date)).distinct().withColumn("is_holiday", F.lit(1))
-    return days.join(F.broadcast(flags), date, "left").withColumn("is_holiday", F.coalesce("is_holiday", F.lit(0)))
+    """0/1 holiday flag: computed from the date, or looked up in a table of the caller."""
+    if holidays is None:
+        return days.withColumn("is_holiday", is_holiday(F.col(date)).cast("int"))
+    flags = holidays.select(F.col("date").alias(date)).distinct().withColumn("is_holiday", F.lit(1))
+    return days.join(flags, date, "left").withColumn("is_holiday", F.coalesce("is_holiday", F.lit(0)))
