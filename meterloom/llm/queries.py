@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm import chat, exact_dedup, huffman, line_dedup, mixing, near_dedup, packing, quality, toxicity, urls
+from meterloom.llm import bpe, chat, exact_dedup, huffman, line_dedup, mixing, near_dedup, packing, quality, toxicity, urls
 from meterloom.llm.tables import read
 from meterloom.session import scratch_path
 
@@ -146,6 +146,12 @@ SELECT doc_id, source, round(rate, 6) AS rate, copies, copy, {_UNIFORM.format("'
 """
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = bpe.decode(bpe.encode(read(spark, sf_dir, "documents")))
+    return back.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_url_filter, op4_toxicity, op5_quality_rules, op6_line_dedup,
-                                   op7_chat_format, op8_token_output, op9_packing, op10_mixing)}
+                                   op7_chat_format, op8_token_output, op9_packing, op10_mixing, op12_bpe)}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_near_dedup": OP2_SQL, "op5_quality_rules": OP5_SQL, "op7_chat_format": OP7_SQL, "op10_mixing": OP10_SQL}
