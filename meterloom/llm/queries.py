@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm import bpe, chat, exact_dedup, huffman, line_dedup, mixing, near_dedup, packing, quality, toxicity, urls
+from meterloom.llm import bpe, chat, exact_dedup, huffman, lexical, line_dedup, mixing, near_dedup, packing, quality, toxicity, urls, vector_codes
 from meterloom.llm.tables import read
 from meterloom.session import scratch_path
 
@@ -146,12 +146,59 @@ SELECT doc_id, source, round(rate, 6) AS rate, copies, copy, {_UNIFORM.format("'
 """
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(read(spark, sf_dir, "embeddings"))
+    return vector_codes.label_errors(codes).select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error",
+                                                   F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _op11_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    steps = [f"""k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS MATERIALIZED (SELECT vec_id, (i - 1) // (len(v) // {parts}) AS p, (i - 1) % (len(v) // {parts}) AS i, v[i] AS x FROM (SELECT vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM k)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k),
+b0 AS MATERIALIZED (SELECT p, e, i, x FROM u JOIN f USING (vec_id) WHERE e < {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, p, min(e) AS e, any_value(least) AS d FROM (SELECT *, min(d) OVER (PARTITION BY vec_id, p) AS least FROM (
+    SELECT vec_id, p, e, sum((u.x - b{r}.x) * (u.x - b{r}.x))::BIGINT AS d FROM u JOIN b{r} USING (p, i) GROUP BY vec_id, p, e)) WHERE d = least GROUP BY vec_id, p)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT p, e, i, sum(x)::BIGINT AS s, count(*) AS n FROM u JOIN a{r} USING (vec_id, p) GROUP BY p, e, i),
+b{r + 1} AS MATERIALIZED (SELECT p, e, i, coalesce(s // n - (s < 0 AND s % n <> 0)::INT, x) AS x FROM b{r} LEFT JOIN m{r} USING (p, e, i))""")
+    return f"""WITH {", ".join(steps)},
+c AS (SELECT vec_id, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY 1)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, i)) FROM b{rounds}) AS codebooks_sha256
+FROM c JOIN k USING (vec_id)"""
+
+
+OP11_SQL = _op11_sql()
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = bpe.decode(bpe.encode(read(spark, sf_dir, "documents")))
     return back.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=50)
+
+
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents),
+c AS (SELECT count(*) FILTER (len(ts) > 0) AS n, sum(len(ts))::BIGINT AS l FROM d),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(c.n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY 1),
+m AS (SELECT doc_id, 50 + (50 * len(ts) * n) // l AS m FROM d, c WHERE len(ts) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_url_filter, op4_toxicity, op5_quality_rules, op6_line_dedup,
-                                   op7_chat_format, op8_token_output, op9_packing, op10_mixing, op12_bpe)}
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_near_dedup": OP2_SQL, "op5_quality_rules": OP5_SQL, "op7_chat_format": OP7_SQL, "op10_mixing": OP10_SQL}
+                                   op7_chat_format, op8_token_output, op9_packing, op10_mixing, op11_vector_codes, op12_bpe, op13_lexical_search)}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op2_near_dedup": OP2_SQL, "op5_quality_rules": OP5_SQL, "op7_chat_format": OP7_SQL, "op10_mixing": OP10_SQL, "op11_vector_codes": OP11_SQL, "op13_lexical_search": OP13_SQL}
