@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.llm.byte_words import blocks
-from meterloom.llm.tokens import _as_bytes, _grown, default_tokenizer
+from meterloom.llm.tokens import as_bytes, default_tokenizer, grown
 
 #: Fragments, and bytes of fragments, that a worker remembers; beyond either it starts anew.
 FRAGMENTS, FRAGMENT_BYTES = 600_000, 32 << 20
@@ -133,8 +133,8 @@ class ForcedCuts:
         cut = np.searchsorted(reach, ends, side="left") + 1
         sizes = np.diff(np.r_[0, cut])
         n, m = len(self.index), len(fragments)
-        self.ids = _grown(self.ids, self.used + len(ids))
-        self.start, self.size = _grown(self.start, n + m), _grown(self.size, n + m)
+        self.ids = grown(self.ids, self.used + len(ids))
+        self.start, self.size = grown(self.start, n + m), grown(self.size, n + m)
         self.ids[self.used : self.used + len(ids)] = ids
         self.start[n : n + m] = self.used + cut - sizes
         self.size[n : n + m] = sizes
@@ -183,7 +183,7 @@ class ForcedCuts:
         at = np.flatnonzero(self.cuts(data, limits)).astype(np.int32)
         fragments = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
         coded = fragments.dictionary_encode()
-        distinct = _as_bytes(coded.dictionary)
+        distinct = as_bytes(coded.dictionary)
         if len(self.index) + len(distinct) > FRAGMENTS or self.held > FRAGMENT_BYTES:
             self._forget()
         find = self.index.get
@@ -202,6 +202,13 @@ def forced_cuts(path: str) -> ForcedCuts:
     return ForcedCuts(path)
 
 
+def encoded(path: str, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(first row, end row, ids, first id of each row and the end)`` for runs of rows."""
+    cuts = forced_cuts(path)
+    for a, b, data, limits in blocks(texts, BLOCK_BYTES):
+        yield a, b, *cuts.block(data, limits)
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> pa.Array:
     """The bytes of every id, of this worker process; the file's vocabulary bounds its size."""
@@ -218,10 +225,8 @@ def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = forced_cuts(path)
         for batch in batches:
-            for a, b, data, limits in blocks(batch.column(1), BLOCK_BYTES):
-                ids, first = cuts.block(data, limits)
+            for a, b, ids, first in encoded(path, batch.column(1)):
                 raw, byte = ids.astype("<u4").tobytes(), (first * 4).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array([raw[x:y] for x, y in zip(byte, byte[1:])], pa.binary())],

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm.tokens import default_tokenizer, encoded
+from meterloom.llm.bpe import encoded
+from meterloom.llm.tokens import as_bytes, default_tokenizer
 from meterloom.session import materialise
 
 MAX_BITS = 16
@@ -89,18 +90,27 @@ def decode_table(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def encode_bits(ids: np.ndarray, first: np.ndarray, bits: np.ndarray, codes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """Code bits and block bit counts of each document."""
+    """Code bits and block bit counts of each document.
+
+    Codes are put into 64-bit words at their bit positions, documents beginning at whole bytes. Bits of different codes
+    never meet, so a word is the bitwise sum of the codes that begin in it and of the rest of the one before.
+    """
     width = bits[ids]
-    room = 16 if width.max(initial=1) <= 16 else 32
-    left = (codes[ids].astype(np.uint64) << (room - width).astype(np.uint64)).astype(">u2" if room == 16 else ">u4")
-    flat = np.unpackbits(left.view(np.uint8).reshape(len(ids), room // 8), axis=1) if len(ids) else np.zeros((0, room), np.uint8)
-    flat = flat[np.arange(room) < width[:, None]]
     ends = np.r_[0, np.cumsum(width)]
-    out, marks = [], []
-    for a, b in zip(first[:-1], first[1:]):
-        out.append(np.packbits(flat[ends[a] : ends[b]]).tobytes())
-        marks.append(np.diff(ends[np.r_[np.arange(a, b, BLOCK), b]]).astype(np.uint16).tobytes())
-    return out, marks
+    n_bytes = -(-(ends[first[1:]] - ends[first[:-1]]) // 8)
+    byte = np.r_[0, np.cumsum(n_bytes)]
+    place = ends[:-1] + np.repeat(byte[:-1] * 8 - ends[first[:-1]], np.diff(first))
+    word, left = place >> 6, 64 - (place & 63) - width
+    code, over = codes[ids].astype(np.uint64), left < 0
+    shifted = np.where(over, code >> np.where(over, -left, 0).astype(np.uint64), code << np.where(over, 0, left).astype(np.uint64))
+    words = np.zeros((int(byte[-1]) >> 3) + 2, np.uint64)
+    if len(ids):
+        at = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        words[word[at]] = np.bitwise_or.reduceat(shifted, at)
+        words[word[over] + 1] |= code[over] << (64 + left[over]).astype(np.uint64)  # one code at most crosses into a word
+    raw, cuts = words.astype(">u8").tobytes(), byte.tolist()
+    marks = [np.diff(ends[np.r_[np.arange(a, b, BLOCK), b]]).astype(np.uint16).tobytes() for a, b in zip(first[:-1], first[1:])]
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:])], marks
 
 
 def decode_frame(payload: bytes, table: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -141,38 +151,51 @@ def decode_frame(payload: bytes, table: tuple[np.ndarray, np.ndarray, int]) -> t
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, ids`` with ids as little-endian 32-bit integers, the end id last; one row per document, nothing shuffled."""
+    """``id, ids, seen, counts``: a row per document with its ids (little-endian 32-bit, the end id last) and, from each task,
+    one row with the distinct ids it has ``seen`` and how often; ``seen`` is null on the rows of documents."""
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.uint32(end_id).tobytes()
+        tail, total = np.uint32(end_id).tobytes(), np.zeros(end_id + 1, np.int64)
         for batch in batches:
             for a, b, ids, first in encoded(tokenizer, batch.column(1)):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([ids[x:y].tobytes() + tail for x, y in zip(first[:-1], first[1:])], pa.binary())], ["id", "ids"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tokenise, "id long, ids binary")
+                own = np.bincount(ids, minlength=len(total))
+                own[: len(total)] += total
+                own[end_id] += b - a
+                total = own
+                raw, byte = ids.astype("<u4").tobytes(), (first * 4).tolist()
+                none = pa.nulls(b - a, pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([raw[x:y] + tail for x, y in zip(byte, byte[1:])], pa.binary()), none, none],
+                                                 ["id", "ids", "seen", "counts"])
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.astype("<u4").tobytes()], pa.binary()),
+                                          pa.array([total[seen].astype("<i8").tobytes()], pa.binary())], ["id", "ids", "seen", "counts"])
 
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(tokenise, "id long, ids binary, seen binary, counts binary")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
-                 max_bits: int = MAX_BITS, shards: int | None = None) -> None:
-    """Encodes all texts and writes ``path/frames`` and ``path/codebook``."""
-    spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
-    tokens = materialise(token_table(docs, tokenizer, end_id, id_col, text_col), "token_ids", compression="zstd")
+def id_counts(tokens: DataFrame) -> np.ndarray:
+    """How often each id occurs, from the side rows of :func:`token_table`; one row per vocabulary id reaches the driver."""
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32)) if batch.num_rows else total[:0]
-            total = np.r_[total, np.zeros(max(0, len(own) - len(total)), np.int64)]
-            total[: len(own)] += own
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
+            for seen, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(seen, "<u4").astype(np.int64)), pa.array(np.frombuffer(counts, "<i8"))], ["id", "n"])
 
-    counted = tokens.select("ids").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row per vocabulary id
+    counted = tokens.where("seen is not null").select("seen", "counts").mapInArrow(rows, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in counted), default=-1) + 1, np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
+    return counts
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
+                 max_bits: int = MAX_BITS, shards: int | None = None) -> None:
+    """Encodes all texts and writes ``path/frames`` and ``path/codebook``."""
+    spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
+    stored = materialise(token_table(docs, tokenizer, end_id, id_col, text_col), "token_ids", compression="zstd")
+    counts = id_counts(stored)
+    tokens = stored.where("seen is null").select("id", "ids")
     bits = code_lengths(counts, max_bits)
     codes = canonical_codes(bits)
     spark.createDataFrame([(int(i), int(bits[i])) for i in np.flatnonzero(bits)], "id long, bits int").coalesce(1).write.parquet(f"{path}/codebook")
@@ -183,13 +206,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(x) // 4 for x in batch.column(1).to_pylist()], np.int64)
+            values = as_bytes(batch.column(1))
+            sizes = np.array([len(x) // 4 for x in values], np.int64)
             keys = batch.column(0)
             shard = np.searchsorted(tops, np.asarray(keys.fill_null(-(2**63))))
             at = 0
             while at < batch.num_rows:
                 to = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), FRAME_TOKENS, side="right")))
-                raw = b"".join(batch.column(1).slice(at, to - at).to_pylist())
+                raw = b"".join(values[at:to])
                 data, marks = encode_bits(np.frombuffer(raw, np.uint32), np.r_[0, np.cumsum(sizes[at:to])], bits, codes)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shard[at:to].astype(np.int32)), keys.slice(at, to - at), pa.array(sizes[at:to]), pa.array(marks, pa.binary()), pa.array(data, pa.binary())],
@@ -224,7 +248,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             yield flush()
 
     packed = tokens.mapInArrow(compress, "shard int, id long, n long, marks binary, bits binary")
-    dealt = packed.repartition(shards, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "bits")
+    # A partition per shard: none is dealt two shards, and files stand in the order of ids.
+    dealt = packed.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "bits")
     dealt.mapInArrow(frame, "shard int, frame long, start long, n_docs long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{path}/frames")
 
 

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.llm.tokens import default_tokenizer, encoded
+from meterloom.llm.bpe import encoded
+from meterloom.llm.tokens import default_tokenizer
 
 CAPACITY = 2048
 CUTS = 3

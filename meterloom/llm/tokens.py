@@ -1,36 +1,10 @@
-"""Token ids of whole text columns with the ``tokenizers`` library, each distinct piece of text encoded once per worker.
-
-A byte-level BPE never merges over the boundaries of its pre-tokenizer, so a text may be cut at such boundaries and the
-ids of the pieces joined. Cuts are made only where a boundary is certain: before a space that a visible character
-follows, after a single line end that a visible character follows, and between a Latin letter and one of ``. , \\n``. Pieces that
-a worker has seen come from a bounded table, all others from the tokenizer. :func:`cuts_hold` refuses a tokenizer of
-another kind, whose texts are then encoded whole.
-"""
+"""Small helpers of the operators on token ids."""
 
 from __future__ import annotations
 
-import functools
-import json
-import os
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 
-from meterloom.llm.byte_words import blocks
-
-#: Pieces that a worker keeps (about 150 MB); beyond that it starts anew.
-PIECES = 700_000
-_VISIBLE = np.zeros(256, bool)  # first bytes of characters that no library takes for white space
-_VISIBLE[0x21:0x7F] = True
-_VISIBLE[0xC3:0xE0] = True
-_PLAIN = np.zeros(256, bool)
-_PLAIN[0x21:0x7F] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".,\n"]] = True
-
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -38,129 +12,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def cuts_hold(spec: dict) -> bool:
-    """Whether a tokenizer file describes a byte-level BPE with the usual pattern and nothing around it."""
-    pre = spec.get("pre_tokenizer") or {}
-    return (pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and not pre.get("add_prefix_space")
-            and spec.get("normalizer") is None and spec.get("post_processor") is None and spec["model"]["type"] == "BPE"
-            and not any(t.get("lstrip") or t.get("rstrip") or any(c in t["content"] for c in " \n.,") for t in spec["added_tokens"]))
-
-
-class Encoder:
-    """One tokenizer with its table of known pieces. Strings of special tokens in a text are ordinary text."""
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.cut = cuts_hold(spec)
-        if self.cut:
-            # A token of a byte-level vocabulary has one character for each byte.
-            self.width = np.zeros(self.tokenizer.get_vocab_size() + 1, np.int64)
-            for token, i in spec["model"]["vocab"].items():
-                self.width[i] = len(token)
-        self.reset()
-
-    def reset(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Encodes new pieces. Those that begin with a space are encoded in one go: a boundary stands before each."""
-        joined = [p for p in pieces if p[:1] == b" " and len(p) > 1 and _VISIBLE[p[1]]]
-        others = [p for p in pieces if not (p[:1] == b" " and len(p) > 1 and _VISIBLE[p[1]])]
-        parts = []
-        for at in range(0, len(joined), 20_000):
-            some = joined[at : at + 20_000]
-            ids = self._plain([b"".join(some).decode("utf-8")])[0]
-            ends = np.cumsum(self.width[ids])
-            cut = np.searchsorted(ends, np.cumsum([len(p) for p in some]), side="left") + 1
-            parts.append((some, ids, np.diff(np.r_[0, cut])))
-        if others:
-            each = self._plain([p.decode("utf-8") for p in others])
-            parts.append((others, np.concatenate(each) if each else np.zeros(0, np.uint32), np.array([len(x) for x in each])))
-        for some, ids, sizes in parts:
-            n, m = len(self.index), len(some)
-            self.ids = _grown(self.ids, self.used + len(ids))
-            self.start, self.size = _grown(self.start, n + m), _grown(self.size, n + m)
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.start[n : n + m] = self.used + np.cumsum(sizes) - sizes
-            self.size[n : n + m] = sizes
-            self.used += len(ids)
-            self.index.update(zip(some, range(n, n + m)))
-
-    def block(self, data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(ids, first)`` of the texts in a byte buffer."""
-        if not self.cut:
-            each = self._plain([data[a:b].tobytes().decode("utf-8") for a, b in zip(limits[:-1], limits[1:])])
-            return (np.concatenate(each) if each else np.zeros(0, np.uint32)), np.r_[0, np.cumsum([len(x) for x in each])].astype(np.int64)
-        n = len(data)
-        if not n:
-            return np.zeros(0, np.uint32), np.zeros(len(limits), np.int64)
-        visible = _VISIBLE[data]
-        cut = np.zeros(n + 1, bool)
-        cut[1 : n - 1] |= (data[1:-1] == 32) & visible[2:] if n > 2 else False
-        letter = _LETTER[data]
-        # In UTF-8, C3 and a byte from 80 to BF are the letters of Latin-1, but for two signs (C3 97, C3 B7).
-        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
-        cut[1:n] |= letter[:-1] & _STOP[data[1:]]
-        if n > 2:  # a single line end
-            cut[2:n] |= (letter[:-2] | _PLAIN[data[:-2]]) & (data[1:-1] == 10) & visible[2:]
-        cut[limits] = True
-        offsets = np.flatnonzero(cut).astype(np.int32)
-        if offsets[0] != 0:
-            offsets = np.r_[np.int32(0), offsets]
-        pieces = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-        coded = pieces.dictionary_encode()
-        distinct = _as_bytes(coded.dictionary)
-        if len(self.index) + len(distinct) > PIECES:
-            self.reset()
-        find = self.index.get
-        where = [find(p, -1) for p in distinct]
-        if new := [p for p, w in zip(distinct, where) if w < 0]:
-            self._learn(new)
-            where = [self.index[p] for p in distinct]
-        entry = np.array(where, np.int64)[np.asarray(coded.indices)]
-        sizes = self.size[entry]
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.start[entry] - ends + sizes, sizes) + np.arange(ends[-1])]
-        first = np.r_[0, ends][np.searchsorted(offsets, limits)]
-        return ids, first
-
-
-def _as_bytes(values: pa.Array) -> list[bytes]:
+def as_bytes(values: pa.Array) -> list[bytes]:
     """The values of a binary array without nulls; slicing one buffer is several times faster than ``to_pylist``."""
+    if not len(values):
+        return []
     at = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].tolist()
     raw = values.buffers()[2].to_pybytes() if values.buffers()[2] is not None else b""
     return [raw[a:b] for a, b in zip(at, at[1:])]
 
 
-def _grown(a: np.ndarray, n: int) -> np.ndarray:
+def grown(a: np.ndarray, n: int) -> np.ndarray:
+    """``a``, or a longer copy with room for ``n`` values."""
     if n <= len(a):
         return a
     out = np.zeros(max(n, 2 * len(a)), a.dtype)
     out[: len(a)] = a
     return out
-
-
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """The encoder of this worker process."""
-    return Encoder(path)
-
-
-def encoded(path: str, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(first row, end row, ids, first id of each row and the end)`` for runs of rows."""
-    enc = encoder(path)
-    for a, b, data, limits in blocks(texts, 1 << 22):
-        yield a, b, *enc.block(data, limits)
