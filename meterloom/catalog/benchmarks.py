@@ -34,8 +34,8 @@ def k30_fit(spark, sf):
     return walkforward.walk_forward_linear(rows, [F.lit(1.0), F.col("temperature")], penalty=0.0).dropna(subset=["fitted"])
 
 
-def _forecasts(spark, sf, *models, value="total"):
-    return benchmark.benchmark_forecasts(panel(spark, sf), TEST_START, value, models)
+def _forecasts(spark, sf, *models, value="total", splits=0):
+    return benchmark.benchmark_forecasts(panel(spark, sf), TEST_START, value, models, splits)
 
 
 _HOLD = "series_id model r2:6 mae:6 rmse:6 mape:4 wmape:6 valid_samples:i total_samples:i"
@@ -43,29 +43,30 @@ _HOLD = "series_id model r2:6 mae:6 rmse:6 mape:4 wmape:6 valid_samples:i total_
 
 @register("k28_arma_weekly_harmonics", _HOLD + " place:i")
 def k28(spark, sf):
-    return benchmark.holdout_table(_forecasts(spark, sf, benchmark.ARMA_WEEKLY), TEST_START)
+    return benchmark.holdout_table(_forecasts(spark, sf, benchmark.ARMA_WEEKLY))
 
 
 @register("k29_arma_weather_calendar", _HOLD + " place:i")
 def k29(spark, sf):
-    return benchmark.holdout_table(_forecasts(spark, sf, benchmark.ARMA_FULL), TEST_START)
+    return benchmark.holdout_table(_forecasts(spark, sf, benchmark.ARMA_FULL))
 
 
 @register("k31_additive_model", _HOLD + " place:i")
 def k31(spark, sf):
-    return benchmark.holdout_table(_forecasts(spark, sf, benchmark.ADDITIVE), TEST_START)
+    return benchmark.holdout_table(_forecasts(spark, sf, benchmark.ADDITIVE))
 
 
 @register("k32_benchmark_table", _HOLD + " place:i")
 def k32(spark, sf):
-    return benchmark.holdout_table(_forecasts(spark, sf, *benchmark.COLUMNS), TEST_START)
+    models = tuple(benchmark.COLUMNS)
+    return benchmark.holdout_table(_forecasts(spark, sf, *models), (*models, benchmark.ZERO_SHOT))
 
 
 @register("k32_wide_predictions", "series_id ts:t Actual:6 Last_Day:6 Last_Week:6",
           "SELECT series_id, ts, total AS Actual, last_day AS Last_Day, last_week AS Last_Week FROM holdout")
 def k32_wide(spark, sf):
     models = (benchmark.LAST_DAY, benchmark.LAST_WEEK)
-    return benchmark.wide_predictions(_forecasts(spark, sf, *models), TEST_START, models)
+    return benchmark.wide_predictions(_forecasts(spark, sf, *models), models)
 
 
 @register("k33_persistence_cross_validation", "series_id model fold:i r2:6 mae:6 rmse:6 wmape:6 valid_samples:i",
@@ -73,9 +74,9 @@ def k32_wide(spark, sf):
           + _BENCH.format(src="""(SELECT series_id, m || '/' || k.k AS model, total, p FROM (SELECT *, 'Last Day' AS m, last_day AS p FROM lagged UNION ALL SELECT *, 'Last Week', last_week FROM lagged) l, (VALUES (1), (2)) k(k)
              WHERE rn >= series_rows - (3 - k.k) * (series_rows // 3) AND rn < series_rows - (2 - k.k) * (series_rows // 3))""") + ")")
 def k33(spark, sf):
-    return benchmark.cv_details(_forecasts(spark, sf, benchmark.LAST_DAY, benchmark.LAST_WEEK))
+    return benchmark.cv_details(_forecasts(spark, sf, benchmark.LAST_DAY, benchmark.LAST_WEEK, splits=2))
 
 
 @register("k33_benchmark_cross_validation", "series_id model r2_mean:6 r2_std:6 mae_mean:6 mae_std:6 rmse_mean:6 rmse_std:6 wmape_mean:6 wmape_std:6")
 def k33_all(spark, sf):
-    return benchmark.cv_table(benchmark.cv_details(_forecasts(spark, sf, *benchmark.COLUMNS)))
+    return benchmark.cv_table(benchmark.cv_details(_forecasts(spark, sf, *benchmark.COLUMNS, splits=2)))
