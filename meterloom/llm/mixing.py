@@ -67,9 +67,9 @@ def replication(docs: DataFrame, rates: DataFrame, seed: int = 0, id_col: str =
                          F.ceil(F.greatest(F.col("rate") / F.lit(MAX_MEAN), F.lit(1.0))).cast("int").alias("draws"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), whole_row(docs).alias("row"))
     joined = rows.join(table, rows["source"].eqNullSafe(table["of"]))
-    draw = lambda j: uniform(F.lit(seed), F.col("id"), F.col("source"), j)
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0),
-                         lambda acc, j: acc + F.size(F.filter("cdf", lambda c: (c <= draw(j)) & (c < F.element_at("cdf", -1)))))
+    # Each draw is hashed once; the steps of the distribution below it are counted then.
+    draws = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: uniform(F.lit(seed), F.col("id"), F.col("source"), j))
+    copies = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter("cdf", lambda c: (c <= u) & (c < F.element_at("cdf", -1)))))
     return joined.select("id", "source", "row", "rate", copies.alias("copies"))
 
 
