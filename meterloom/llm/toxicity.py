@@ -120,11 +120,22 @@ def hit_table(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
         run, docs.select(F.col(id_col).alias("id")).schema.simpleString()[7:-1].replace(":", " ") + ", held_out boolean, votes int, hits array<int>, counts array<int>")
 
 
+def hashed_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` rows with the smallest hash of ``key``, one for each value.
+
+    A hash threshold somewhat above the share of ``n`` goes first, so that little more than ``n`` rows are sorted or sent
+    anywhere, however many rows and partitions there are.
+    """
+    share = (n + 10 * n**0.5 + 100) / max(1, rows.count())
+    some = rows if share >= 1 else rows.where(F.xxhash64(key) < F.lit(int(-(2**63) + share * 2**64)))
+    return some.dropDuplicates([key]).orderBy(F.xxhash64(key), key).limit(n)
+
+
 def induce_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[str, int]:
     """Words and word beginnings that training rows show almost only in toxic texts, with the shard of each."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.groupBy(F.col(id_col).alias("label_id")).agg(F.max(F.col(label_col)).cast("int").alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
-    known = materialise(known, "training_labels")
+    known = known.groupBy(F.col(id_col).alias("label_id")).agg(F.max(F.col(label_col)).cast("int").alias("toxic"))
+    known = materialise(hashed_sample(known, "label_id", sample), "training_labels")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, F.col("id") == F.col("label_id")).select("id", "toxic", "text")
     rows = materialise(rows, "training_texts")
 
@@ -237,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     learning = hits.where(~F.col("held_out") & F.col("id").isNotNull())
     patterns = {r["votes"]: r["n"] for r in learning.groupBy("votes").agg(F.count("*").alias("n")).collect()}  # at most 2**voters rows
     model.rates, model.discount, model.prior = fit_label_model(patterns or {0: 1}, model.voters)
-    rows = learning.orderBy(F.xxhash64("id"), "id").limit(sample).select("votes", "hits", "counts").collect()  # at most ``sample`` rows
+    rows = hashed_sample(learning, "id", sample).select("votes", "hits", "counts").collect()  # at most ``sample`` rows
     width = len(model.features) + model.voters
     if rows:
         bits = np.array([[r["votes"] >> j & 1 for j in range(model.voters)] for r in rows], np.float64)
