@@ -63,7 +63,7 @@ def k24(spark, sf):
     p, s = _stage(spark, sf, [2], [1], ["filter"])
     scaled = hybrid.scaled_per_fold(hybrid.holdout_folds(hybrid.day_table(p), TEST_START))
     predicted = hybrid.predict_with_models(
-        scaled, s.labels, [("filter", 2, 1)], [("Logistic Regression", {"C": 1.0}), ("CART", {"max_depth": 4})],
+        scaled, s.labels, s.profiles, [("filter", 2, 1)], [("Logistic Regression", {"C": 1.0}), ("CART", {"max_depth": 4})],
         [("Linear Regression", {"reg_type": "ridge", "alpha": 1.0}), ("CART", {"max_depth": 4})], [0])
     return hybrid.score_forecasts(p, hybrid.forecast_settings(predicted, s.profiles))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from meterloom.functions.timeaxis import stamp_from
 from meterloom.learners import closedform, models
-from meterloom.operators import daily, folds, metrics
+from meterloom.operators import codebook, daily, folds, metrics
 from meterloom.operators.reshape import as_variants
 from meterloom.operators.scale import standardise
 from meterloom.session import materialise, run_parallel
@@ -84,30 +84,59 @@ def _complete(df: DataFrame, trailing: bool) -> DataFrame:
     return models.assemble(df, daily.feature_columns(trailing))
 
 
+def _by_fold(table: DataFrame, keys: Sequence[str]) -> list[str]:
+    """``keys`` and the fold, where labels or profiles were fitted per fold."""
+    return [*keys, "fold"] if "fold" in table.columns else list(keys)
+
+
 def predict_with_models(
-    scaled: DataFrame, labels: DataFrame, settings: Sequence[tuple[str, int, int]], classifiers: Sequence[tuple[str, dict]],
+    scaled: DataFrame, labels: DataFrame, profiles: DataFrame, settings: Sequence[tuple[str, int, int]], classifiers: Sequence[tuple[str, dict]],
     regressors: Sequence[tuple[str, dict]], fold_ids: Sequence[int], trailing: bool = True,
 ) -> DataFrame:
     """Predicted cluster, class probabilities and peak of every test day for all pairs of models.
 
     One fit per (setting, fold, classifier) and one per (variant, fold, regressor) over the days of all series; pairs
     are formed by a join of the two prediction tables and cost no further fit. ``settings`` lists (variant, k, config).
+
+    Meters of any size share a fit: classifiers learn codes of a codebook that the clusters of all series are aligned to by
+    their ``profiles``, and regressors learn the peak as a ratio to the mean peak of the series' training days. Both are
+    turned back per series.
     """
-    table = materialise(_complete(scaled, trailing).select(*DAY, "role", "features", "peak"), "day-matrix", ["variant", "fold"])
-    known = materialise(labels.select("series_id", "variant", "config_id", "k", "date", "cluster"), "labels", ["variant", "k", "config_id"])
+    setting = ["variant", "k", "config_id"]
+    level = scaled.filter("role = 'train'").groupBy(*DAY[:3]).agg(F.avg("peak").alias("level"))
+    sized = scaled.join(level, DAY[:3]).withColumn("ratio", F.col("peak") / F.nullif(F.col("level"), F.lit(0.0)))
+    table = materialise(_complete(sized, trailing).select(*DAY, "role", "features", "ratio", "level"), "day-matrix", ["variant", "fold"])
+    codes = codebook.align_codebook(profiles, _by_fold(profiles, setting))
+    model = _by_fold(profiles, ["series_id", *setting])
+    # One short array per model: the code of each of its clusters.
+    slots = F.sequence(F.lit(0), F.max("cluster"))
+    books = codes.groupBy(*model).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "code"))).alias("_m"), slots.alias("_s"))
+    books = materialise(books.select(*model, F.transform("_s", lambda c: F.coalesce(F.try_element_at("_m", c), F.lit(-1))).alias("codes")), "codes-by-model")
+    known = labels.select(*_by_fold(labels, ["series_id", *setting]), "date", "cluster").join(codes, [*model, "cluster"])
+    known = materialise(known, "labels", setting)
 
     def classify(variant, k, config, fold, name, params):
+        def here(t: DataFrame) -> DataFrame:
+            t = t.filter((F.col("variant") == variant) & (F.col("k") == k) & (F.col("config_id") == config))
+            return t.filter(F.col("fold") == fold) if "fold" in t.columns else t
+
         days = table.filter((F.col("variant") == variant) & (F.col("fold") == fold))
-        own = known.filter((F.col("variant") == variant) & (F.col("k") == k) & (F.col("config_id") == config)).select("series_id", "date", F.col("cluster").cast("double").alias("label"))
+        own = here(known).select("series_id", "date", F.col("code").cast("double").alias("label"))
         train = days.filter("role = 'train'").join(own, ["series_id", "date"])
-        scored = models.fit_classifier(name, params, train, k).transform(days.filter("role = 'test'"))
-        return scored.select(*DAY, F.lit(k).alias("k"), F.lit(config).alias("config_id"), F.lit(name).alias("classifier"), F.col("prediction").alias("cluster"), "probs")
+        scored = models.fit_classifier(name, params, train, k).transform(days.filter("role = 'test'")).withColumnsRenamed({"probs": "_probs", "prediction": "_code"})
+        back = scored.join(here(books).select("series_id", "codes"), "series_id")
+        by_cluster = F.transform("codes", lambda c: F.coalesce(F.get("_probs", c), F.lit(0.0)))
+        likeliest = -F.array_max(F.transform(by_cluster, lambda p, i: F.struct(p.alias("p"), (-i).alias("i"))))["i"]
+        place = F.array_position("codes", F.col("_code").cast("int")) - 1
+        # A code that the series has no cluster for gives way to the likeliest one it has.
+        return back.select(*DAY, F.lit(k).alias("k"), F.lit(config).alias("config_id"), F.lit(name).alias("classifier"),
+                           F.when(place >= 0, place).otherwise(likeliest).cast("int").alias("cluster"), by_cluster.alias("probs"))
 
     def regress(variant, fold, name, params):
-        days = table.filter((F.col("variant") == variant) & (F.col("fold") == fold)).withColumn("label", F.col("peak"))
+        days = table.filter((F.col("variant") == variant) & (F.col("fold") == fold)).withColumn("label", F.col("ratio"))
         train = days.filter("role = 'train' AND label IS NOT NULL")
         scored = models.fit_regressor(name, params, train).transform(days.filter("role = 'test'"))
-        return scored.select(*DAY, F.lit(name).alias("regressor"), F.col("prediction").alias("peak"))
+        return scored.select(*DAY, F.lit(name).alias("regressor"), (F.col("prediction") * F.col("level")).alias("peak"))
 
     variants = sorted({v for v, _, _ in settings})
     shapes = run_parallel([(lambda a=(*s, f, *c): classify(*a)) for s in settings for f in fold_ids for c in classifiers])
@@ -121,12 +150,13 @@ def predict_per_series(scaled: DataFrame, labels: DataFrame, n_classes: int, alp
     features = daily.feature_columns(trailing)
     days = materialise(scaled.dropna(subset=features).select(*DAY, "role", "peak", *features), "day-features")
     model = [*DAY[:3], "config_id", "k"]
-    own = labels.select("series_id", "variant", "config_id", "k", "date", "cluster")
+    keys = _by_fold(labels, ["series_id", "variant"])
+    own = labels.select(*keys, "config_id", "k", "date", "cluster")
     train = days.filter("role = 'train'")
     test = days.filter("role = 'test'")
-    bayes = closedform.bayes_fit(train.join(own, ["series_id", "variant", "date"]), features, "cluster", model, var_smoothing)
-    runs = own.select("series_id", "variant", "config_id", "k").distinct()
-    shapes = closedform.bayes_predict(test.join(runs, ["series_id", "variant"]), bayes, features, n_classes, model)
+    bayes = closedform.bayes_fit(train.join(own, [*keys, "date"]), features, "cluster", model, var_smoothing)
+    runs = own.select(*keys, "config_id", "k").distinct()
+    shapes = closedform.bayes_predict(test.join(runs, keys), bayes, features, n_classes, model)
     shapes = shapes.select(*DAY, "config_id", "k", F.col("prediction").alias("cluster"), "probs")
     ridge = closedform.linear_fit(train, features, "peak", DAY[:3], alpha)
     peaks = closedform.linear_predict(test, ridge, features, DAY[:3], "predicted_peak")
@@ -135,7 +165,7 @@ def predict_per_series(scaled: DataFrame, labels: DataFrame, n_classes: int, alp
 
 def forecast_settings(predicted: DataFrame, profiles: DataFrame, soft: bool = False) -> DataFrame:
     """Quarter-hour forecast of every predicted day, for all settings, folds and model pairs at once."""
-    keys = ["series_id", "variant", "config_id", "k"]
+    keys = _by_fold(profiles, ["series_id", "variant", "config_id", "k"])
     if soft:
         return blended_profile_times_peak(predicted.drop("cluster"), profiles, keys)
     return shape_times_peak(predicted.drop("probs"), profiles, keys)

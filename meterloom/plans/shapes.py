@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from meterloom.operators import clustering, intervals, reshape
+from meterloom.operators import clustering, codebook, intervals, reshape
 from meterloom.operators.scale import min_max
 from meterloom.session import materialise
 from meterloom.sources.artefacts import write_keyed
@@ -51,6 +51,27 @@ def shape_days(
     return Shapes(slots, means, vectors, labels, profiles)
 
 
+def shape_days_per_fold(panel: DataFrame, folded: DataFrame, ks: Sequence[int] = (2, 3), configs: Sequence[int] | None = None, restarts: int = clustering.RESTARTS) -> Shapes:
+    """Shapes from each fold's training days alone: scaling, clusters and profiles never see a test day.
+
+    ``folded``: series_id, variant, date, fold, role. All tables carry ``fold``; cluster numbers are matched over the folds of a series,
+    so a number means the same shape in each.
+    """
+    keys = [*KEYS, "fold"]
+    days = folded.filter("role = 'train'").select(*keys, "date").distinct()
+    long = reshape.as_variants(panel).withColumn("date", F.to_date("ts")).join(days, [*KEYS, "date"])
+    scaled = min_max(long, keys=keys)
+    means = intervals.interval_means_wide(scaled, "scaled", keys, configs)
+    vectors = intervals.interval_vectors(means, keys, configs)
+    fitted = materialise(clustering.cluster_days(vectors, ks, (*keys, "config_id"), restarts), "fold-labels")
+    slots = reshape.day_slots(scaled, "scaled", keys)
+    model = ["fold", *MODEL]
+    own = clustering.mean_profiles(clustering.attach_labels(slots, fitted.drop("inertia"), keys), model)
+    codes = codebook.align_codebook(own, MODEL, ["fold"])
+    labels = materialise(codebook.renumber(fitted, codes, model), "labels")
+    return Shapes(slots, means, vectors, labels, codebook.renumber(own, codes, model))
+
+
 def write_shapes(shapes: Shapes, root: str) -> dict[str, str]:
     """The three stage tables, partitioned by setting: interval profiles with label, day slots with label, mean profiles."""
     labels = shapes.labels.drop("inertia")

@@ -91,3 +91,6 @@ def test_full_run_writes_every_table(spark, twin):
     assert all(n > 0 for n in sizes.values()), sizes
     best = spark.read.parquet(paths["forecast_scores"])
     assert best.filter("place = 1").count() == 3
+    assert {"classifier_search", "regressor_search", "label_agreement", "evaluation", "benchmark_overlay_filter", "forecast_summary"} <= paths.keys()
+    assert {r["status"] for r in spark.read.parquet(paths["inputs"]).collect()} == {"run"}
+    assert spark.read.parquet(paths["benchmark_filter"]).filter("model = 'Zero-shot' AND valid_samples = 0 AND rmse IS NULL").count() == 3
