@@ -166,6 +166,34 @@ def j16_ridge(spark, sf):
     return closedform.linear_predict(test, closedform.linear_fit(train, _TWO, "load_max", alpha=10.0), _TWO)
 
 
+_LASSO_ALPHAS = (0.01, 0.5, 5.0, 40.0)
+
+
+def _lasso_sql() -> str:
+    """Two features: the optimum is among nine sign patterns, each with a closed form; the least objective wins."""
+    alphas = ", ".join(f"({a})" for a in _LASSO_ALPHAS)
+    return f"""WITH t AS (SELECT series_id, temperature AS x, radiation_sum AS z, load_max AS y FROM days WHERE date < DATE '2024-01-24'),
+ g AS (SELECT series_id, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM t GROUP BY 1),
+ c AS (SELECT g.*, a.a, s.s, r.r, CASE WHEN s.s = 0 THEN 0 WHEN r.r = 0 THEN (xy - a.a * s.s) / xx ELSE ((xy - a.a * s.s) * zz - (zy - a.a * r.r) * xz) / (xx * zz - xz * xz) END AS b1,
+   CASE WHEN r.r = 0 THEN 0 WHEN s.s = 0 THEN (zy - a.a * r.r) / zz ELSE ((zy - a.a * r.r) * xx - (xy - a.a * s.s) * xz) / (xx * zz - xz * xz) END AS b2
+   FROM g, (VALUES {alphas}) a(a), (VALUES (-1), (0), (1)) s(s), (VALUES (-1), (0), (1)) r(r)),
+ o AS (SELECT *, 0.5 * (b1 * b1 * xx + 2 * b1 * b2 * xz + b2 * b2 * zz) - b1 * xy - b2 * zy + a * (abs(b1) + abs(b2)) AS cost FROM c WHERE sign(b1) = s AND sign(b2) = r),
+ b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY series_id, a ORDER BY cost) = 1)
+ SELECT d.series_id, d.date, b.a AS alpha, my + b1 * (d.temperature - mx) + b2 * (d.radiation_sum - mz) AS prediction FROM days d JOIN b USING (series_id) WHERE d.date >= DATE '2024-01-24'"""
+
+
+@register("j16_lasso_per_series", "series_id date:d alpha:4 prediction:5", _lasso_sql())
+def j16_lasso(spark, sf):
+    _, train, test = _train_test(spark, sf)
+    return closedform.linear_predict(test, closedform.lasso_fit(train, _TWO, "load_max", _LASSO_ALPHAS), _TWO)
+
+
+@register("j16_lasso_without_penalty_per_series", "series_id date:d prediction:4", _ols_sql(0))
+def j16_lasso_ols(spark, sf):
+    _, train, test = _train_test(spark, sf)
+    return closedform.linear_predict(test, closedform.lasso_fit(train, _TWO, "load_max", [1e-9]), _TWO)
+
+
 def _pooled_sql(alpha: float) -> str:
     return f"""WITH t AS (SELECT temperature AS x, radiation_sum AS z, load_max AS y FROM days WHERE date < DATE '2024-01-24'),
  g AS (SELECT avg(x) AS mx, avg(z) AS mz, avg(y) AS my, covar_pop(x, x) + {alpha} / count(*) AS xx, covar_pop(z, z) + {alpha} / count(*) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM t),

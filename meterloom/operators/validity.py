@@ -29,45 +29,54 @@ def inertia(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _indices(cluster_stats(labelled, keys), keys).select(*keys, "inertia")
 
 
-def silhouette_points(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Euclidean silhouette of every day among the days of its own model.
+TILE = 1024
 
-    The exact index needs all distances inside a model. They are summed per cluster in small blocks and never become
-    rows. A model holds one row per calendar day of one series, which bounds the group; for pooled models over many
-    series use :func:`silhouette_squared`.
+
+def silhouette_points(labelled: DataFrame, keys: Sequence[str], point: Sequence[str] = ("date",), tile: int = TILE) -> DataFrame:
+    """Euclidean silhouette of every point among the points of its own model: ``keys, point, silhouette``.
+
+    The exact index needs all distances inside a model. Its points are dealt to tiles of about ``tile`` by a hash, every pair of
+    tiles is one group of rows, and a group only returns, for each point of its first tile, the sum of distances to each
+    cluster of its second. Sums are merged per point. No task holds more than two tiles, distances never become rows, and a
+    model of n points is shared by (n / tile)^2 groups.
     """
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in labelled.schema.fields if f.name in keys)
-
-    def score(key, days):
-        x = np.stack(days["vec"].to_numpy())
-        names, own = np.unique(days["cluster"].to_numpy(), return_inverse=True)
-        n, k = len(x), len(names)
-        member = np.eye(k)[own]
-        size = member.sum(axis=0)
-        value = np.zeros(n)
-        if 1 < k < n:
-            step = max(1, 2_000_000 // (n * x.shape[1]))
-            for lo in range(0, n, step):
-                part = slice(lo, min(lo + step, n))
-                dist = np.sqrt(((x[part, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-                sums = dist @ member
-                rows = np.arange(sums.shape[0])
-                mine = own[part]
-                inner = sums[rows, mine] / np.maximum(size[mine] - 1, 1)
-                means = sums / size
-                means[rows, mine] = np.inf
-                outer = means.min(axis=1)
-                top = np.maximum(inner, outer)
-                s = np.where(top > 0, (outer - inner) / np.where(top > 0, top, 1.0), 0.0)
-                value[part] = np.where(size[mine] > 1, s, 0.0)
-        out = {name: key[i] for i, name in enumerate(keys)}
-        return pd.DataFrame({**out, "date": days["date"].to_numpy(), "silhouette": value})
-
-    return labelled.select(*keys, "date", "cluster", "vec").groupBy(*keys).applyInPandas(score, f"{fields}, date date, silhouette double")
-
-
-def silhouette(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return silhouette_points(labelled, keys).groupBy(*keys).agg(F.avg("silhouette").alias("silhouette"))
+    keys, point = list(keys), list(point)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in labelled.schema.fields if f.name in [*keys, *point])
+    sizes = labelled.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("members"))
+    models = sizes.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "members"))).alias("sizes"), F.sum("members").alias("n"))
+    models = models.withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
+    dealt = labelled.select(*keys, *point, "cluster", "vec").join(models.select(*keys, "tiles"), keys).withColumn("tile", F.pmod(F.xxhash64(*point), F.col("tiles")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    left = dealt.withColumn("other", every).select(*keys, F.col("tile").alias("_i"), F.col("other").alias("_j"), F.lit(True).alias("own"), *point, "cluster", "vec")
+    right = dealt.withColumn("other", every).select(*keys, F.col("other").alias("_i"), F.col("tile").alias("_j"), F.lit(False).alias("own"), *point, "cluster", "vec")
+
+    def score(key, rows):
+        own, other = rows[rows["own"]], rows[~rows["own"]]
+        head = {name: key[i] for i, name in enumerate(keys)}
+        if own.empty or other.empty:
+            return pd.DataFrame(columns=[*keys, *point, "cluster", "toward", "total"])
+        x, y = np.stack(own["vec"].to_numpy()), np.stack(other["vec"].to_numpy())
+        names, code = np.unique(other["cluster"].to_numpy(), return_inverse=True)
+        member = np.eye(len(names))[code]
+        step = max(1, 2_000_000 // max(1, y.size))
+        sums = np.concatenate([np.sqrt(((x[lo : lo + step, None, :] - y[None, :, :]) ** 2).sum(axis=2)) @ member for lo in range(0, len(x), step)])
+        again = {c: np.repeat(own[c].to_numpy(), len(names)) for c in [*point, "cluster"]}
+        return pd.DataFrame({**head, **again, "toward": np.tile(names, len(x)), "total": sums.ravel()})
+
+    partial = left.unionByName(right).groupBy(*keys, "_i", "_j").applyInPandas(score, f"{fields}, cluster int, toward int, total double")
+    toward = partial.groupBy(*keys, *point, "cluster", "toward").agg(F.sum("total").alias("total"))
+    per_point = toward.groupBy(*keys, *point, "cluster").agg(F.collect_list(F.struct("toward", "total")).alias("sums")).join(models, keys)
+    mine = F.col("sizes")[F.col("cluster")]
+    inner = F.aggregate("sums", F.lit(0.0), lambda s, t: s + F.when(t["toward"] == F.col("cluster"), t["total"]).otherwise(0.0)) / F.greatest(mine - 1, F.lit(1))
+    outer = F.array_min(F.transform(F.filter("sums", lambda t: t["toward"] != F.col("cluster")), lambda t: t["total"] / F.col("sizes")[t["toward"]]))
+    gaps = per_point.withColumns({"_a": inner, "_b": outer})
+    defined = (F.size("sizes") > 1) & (F.size("sizes") < F.col("n")) & (mine > 1)
+    value = F.when(defined, F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")))
+    return gaps.select(*keys, *point, F.coalesce(value, F.lit(0.0)).alias("silhouette"))
+
+
+def silhouette(labelled: DataFrame, keys: Sequence[str], point: Sequence[str] = ("date",)) -> DataFrame:
+    return silhouette_points(labelled, keys, point).groupBy(*keys).agg(F.avg("silhouette").alias("silhouette"))
 
 
 def silhouette_squared(labelled: DataFrame) -> float:

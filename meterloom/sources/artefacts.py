@@ -15,12 +15,11 @@ SETTING = ["variant", "k", "config_id"]
 def write_keyed(df: DataFrame, path: str, keys: Sequence[str] = tuple(SETTING), replace_only_present: bool = True) -> str:
     """Write a stage table with its setting as partition columns.
 
-    Rows are spread over ``keys`` plus the series before writing, so a partition folder gets few files and a hot setting
-    is still written by several tasks. Only the settings present in ``df`` are replaced.
+    Rows are rebalanced by ``keys``: partitions get a sensible size, small ones are joined, and a setting or series that holds
+    most of the rows is split over several tasks. Only the settings present in ``df`` are replaced.
     """
     keys = [k for k in keys if k in df.columns]
-    spread = [*keys, "series_id"] if "series_id" in df.columns else keys
-    writer = df.repartition(*[F.col(c) for c in spread]).write.mode("overwrite").partitionBy(*keys)
+    writer = df.hint("rebalance", *[F.col(c) for c in keys]).write.mode("overwrite").partitionBy(*keys)
     if replace_only_present:
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
