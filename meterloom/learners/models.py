@@ -10,21 +10,17 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import PolynomialExpansion
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meterloom.learners import closedform
+from meterloom.learners import boosting, closedform, kernels, tube
 from meterloom.session import run_parallel
 
 SEED = 42
@@ -64,40 +60,9 @@ def _subset(params: Mapping) -> str:
     return {"None": "all"}.get(choice, choice)
 
 
-# ---- feature maps of the kernel learners -------------------------------------------------------------------------
-
-
-def fourier_map(width: int, gamma: float, size: int = 64, seed: int = SEED) -> Callable[[DataFrame], DataFrame]:
-    """Random Fourier features of the Gaussian kernel exp(-gamma |x-y|^2), as one expression per row."""
-    rng = np.random.default_rng(seed)
-    w = rng.normal(scale=np.sqrt(2 * gamma), size=(size, width))
-    shift = rng.uniform(0, 2 * np.pi, size=size)
-    rows = F.array(*[F.struct(F.array(*[F.lit(float(v)) for v in w[i]]).alias("w"), F.lit(float(shift[i])).alias("b")) for i in range(size)])
-    norm = float(np.sqrt(2.0 / size))
-
-    def apply(df: DataFrame) -> DataFrame:
-        dot = lambda r: F.aggregate(F.zip_with(r["w"], F.col("_x"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        out = df.withColumn("_x", vector_to_array("features"))
-        return out.withColumn("mapped", array_to_vector(F.transform(rows, lambda r: F.cos(dot(r) + r["b"]) * norm))).drop("_x")
-
-    return apply
-
-
-def polynomial_map(degree: int) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: PolynomialExpansion(degree=degree, inputCol="features", outputCol="mapped").transform(df)
-
-
-def _kernel_map(params: Mapping, train: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    if params.get("kernel", "rbf") == "poly":
-        return polynomial_map(int(params.get("degree", 2)))
-    stats = train.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("features")).alias("s")).select("s.*").first()
-    width, n = len(stats["mean"]), stats["count"]
-    gamma = 1.0 / width
-    if params.get("gamma", "scale") == "scale":
-        mean, var = stats["mean"].toArray(), stats["variance"].toArray() * max(n - 1, 1) / max(n, 1)
-        overall = float((var + mean**2).mean() - mean.mean() ** 2)
-        gamma = 1.0 / (width * overall) if overall > 0 else 1.0
-    return fourier_map(width, gamma)
+def fourier_map(width: int, gamma: float, size: int = kernels.SIZE, seed: int = SEED) -> Callable[[DataFrame], DataFrame]:
+    """Random Fourier features of the Gaussian kernel as a step on tables."""
+    return kernels.mapped(kernels.fourier_map(width, gamma, size, seed))
 
 
 # ---- classifiers -------------------------------------------------------------------------------------------------
@@ -169,23 +134,22 @@ def _native(model, n_classes: int) -> Callable[[DataFrame], DataFrame]:
     return apply
 
 
-def _boosting_params(params: Mapping) -> dict:
-    """The boosting families share one gradient-boosted tree operator; options it lacks are left out."""
-    out = dict(
-        maxIter=int(params.get("n_estimators", params.get("iterations", 50))),
-        stepSize=float(params.get("learning_rate", 0.1)),
-        maxDepth=int(params.get("max_depth", params.get("depth", 3))),
-        minInstancesPerNode=int(params.get("min_child_weight", params.get("min_child_samples", 1))),
-        subsamplingRate=float(params.get("subsample", 1.0)),
-        seed=SEED,
-    )
-    if "colsample_bytree" in params:
-        out["featureSubsetStrategy"] = str(float(params["colsample_bytree"]))
-    if "gamma" in params:
-        out["minInfoGain"] = float(params["gamma"])
-    if "border_count" in params:
-        out["maxBins"] = int(params["border_count"])
-    return out
+def _boosted_classes(name: str, params: Mapping, train: DataFrame, n_classes: int) -> Callable[[DataFrame], DataFrame]:
+    model = boosting.fit(train, boosting.options(name, params), n_classes)
+
+    def apply(df: DataFrame) -> DataFrame:
+        out = df.withColumn("_m", model.margin_column())
+        if n_classes == 2:
+            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_m")[0]))
+            probs = F.array(F.lit(1.0) - p, p)
+        else:
+            top = F.array_max("_m")
+            weights = F.transform("_m", lambda m: F.exp(m - top))
+            probs = F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda s, v: s + v))
+        best = F.array_max(F.transform("probs", lambda v, i: F.struct(v.alias("v"), (-i).alias("i"))))
+        return out.withColumn("probs", probs).withColumn("prediction", (-best["i"]).cast("int")).drop("_m")
+
+    return apply
 
 
 def fit_classifier(name: str, params: Mapping, train: DataFrame, n_classes: int) -> Fitted:
@@ -210,14 +174,10 @@ def fit_classifier(name: str, params: Mapping, train: DataFrame, n_classes: int)
         n = train.count()
         est = LogisticRegression(regParam=1.0 / (n * float(params.get("C", 1.0))), elasticNetParam=0.0, maxIter=int(params.get("max_iter", 100)), standardization=False, tol=LOGISTIC_TOLERANCE)
     elif name in ("XGBoost", "LightGBM", "CatBoost"):
-        booster = GBTClassifier(**_boosting_params(params))
-        if n_classes == 2:
-            est = booster
-        else:
-            return Fitted(name, *_by_binary_fits(lambda: GBTClassifier(**_boosting_params(params)), lambda d: d, train, n_classes, pairwise=False))
+        return Fitted(name, _boosted_classes(name, params, train, n_classes))
     elif name in ("SVM Linear", "SVM Non-Linear"):
         n = train.count()
-        prepare = _kernel_map(params, train) if name == "SVM Non-Linear" else (lambda d: d)
+        prepare = kernels.fit_map(params, train)[0] if name == "SVM Non-Linear" else (lambda d: d)
         col = "mapped" if name == "SVM Non-Linear" else "features"
         penalty = 1.0 / (n * float(params.get("C", 1.0)))
         build = lambda: LinearSVC(featuresCol=col, regParam=penalty, standardization=False, maxIter=100, tol=SVM_TOLERANCE)
@@ -254,18 +214,16 @@ def fit_regressor(name: str, params: Mapping, train: DataFrame) -> Fitted:
             featureSubsetStrategy=_subset(params), seed=SEED,
         )
     elif name in ("XGBoost", "LightGBM", "CatBoost"):
-        est = GBTRegressor(**_boosting_params(params))
+        trees = boosting.fit(train, boosting.options(name, params))
+        return Fitted(name, lambda df: df.withColumn("prediction", trees.margin_column()[0]), (trees,))
     elif name == "Linear Regression":
         est = _linear(params, train)
     elif name in ("SVR Linear", "SVR Non-Linear"):
-        # Robust linear fit with a Huber loss in place of the epsilon-insensitive loss.
-        n = train.count()
         if name == "SVR Non-Linear":
-            prepare = _kernel_map(params, train)
-        est = LinearRegression(
-            loss="huber", epsilon=1.0 + float(params.get("epsilon", 0.1)), regParam=1.0 / (n * float(params.get("C", 1.0))), solver="l-bfgs",
-            standardization=False, featuresCol="mapped" if name == "SVR Non-Linear" else "features", maxIter=200,
-        )
+            prepare = kernels.fit_map(params, train)[0]
+        col = "mapped" if name == "SVR Non-Linear" else "features"
+        flat = tube.fit(prepare(train), float(params.get("C", 1.0)), float(params.get("epsilon", 0.1)), col)
+        return Fitted(name, lambda df: prepare(df).withColumn("prediction", flat.column(col)).drop("mapped"), (flat,))
     else:
         raise ValueError(f"unknown regressor {name!r}")
     model = est.fit(prepare(train))

@@ -25,7 +25,7 @@ CLASSIFIER_SPACES = {
         ("border_count", "int", 32, 255),
     ],
     "SVM Linear": [("C", "log", 0.001, 100.0)],
-    "SVM Non-Linear": [("kernel", "choice", ["rbf", "poly"]), ("C", "log", 0.001, 100.0), ("gamma", "choice", ["scale", "auto"]), ("degree", "int", 2, 5)],
+    "SVM Non-Linear": [("kernel", "choice", ["rbf", "poly", "sigmoid"]), ("C", "log", 0.001, 100.0), ("gamma", "choice", ["scale", "auto"]), ("degree", "int", 2, 5)],
     "Naive Bayes": [("var_smoothing", "log", 1e-10, 1e-5)],
     "Logistic Regression": [("C", "log", 0.001, 100.0), ("max_iter", "int", 100, 1000)],
     "Random Forest": [
@@ -39,7 +39,7 @@ REGRESSOR_SPACES = {
     "LightGBM": CLASSIFIER_SPACES["LightGBM"],
     "CatBoost": CLASSIFIER_SPACES["CatBoost"],
     "SVR Linear": [("C", "log", 0.001, 100.0), ("epsilon", "float", 0.01, 1.0)],
-    "SVR Non-Linear": [("kernel", "choice", ["rbf", "poly"]), ("C", "log", 0.001, 100.0), ("epsilon", "float", 0.01, 1.0), ("gamma", "choice", ["scale", "auto"]), ("degree", "int", 2, 5)],
+    "SVR Non-Linear": [("kernel", "choice", ["rbf", "poly", "sigmoid"]), ("C", "log", 0.001, 100.0), ("epsilon", "float", 0.01, 1.0), ("gamma", "choice", ["scale", "auto"]), ("degree", "int", 2, 5)],
     "Linear Regression": [("reg_type", "choice", ["none", "ridge", "lasso"]), ("alpha", "log", 0.001, 100.0)],
     "Random Forest": CLASSIFIER_SPACES["Random Forest"],
 }
