@@ -23,7 +23,7 @@ def i1(spark, sf):
 
 @register("i1_kmeans_pooled", "series_id date:d k:i cluster:i inertia:6")
 def i1_pooled(spark, sf):
-    return clustering.cluster_days_pooled(det_vectors(spark, sf), (2,))
+    return clustering.cluster_days_pooled(det_vectors(spark, sf), (2, 3))
 
 
 @register("i2_canonical_labels", "series_id date:d cluster:i",
@@ -56,7 +56,7 @@ def i3(spark, sf):
 @register("i4_kmeans_full_profiles", "series_id target k:i cluster:i slot:i value:6 days:i")
 def i4(spark, sf):
     p = panel(spark, sf).select("series_id", "ts", "total", "total_filter")
-    return reports.report_dataset(p, ["total", "total_filter"], (2, 3))[0]
+    return reports.report_dataset(p, ["total", "total_filter"], range(2, 10))[0]
 
 
 @register("i5_k_sweep", "series_id k:i inertia:6 silhouette:6 davies_bouldin:6 calinski_harabasz:6")

@@ -56,12 +56,15 @@ def k21(spark, sf):
     return daily.day_features(panels.events_panel(spark, sf), trailing=True)
 
 
-@register("b19_re_encoded_features_dropped", "series_id date:d kept:i", "SELECT series_id, date, 0 AS kept FROM orders_days")
+@register("b19_re_encoded_features_dropped", "series_id date:d names month_sin:6 weekday_cos:6",
+          """SELECT series_id, date, 'dayofyear_cos,dayofyear_sin,is_holiday,is_weekend,month_cos,month_sin,weekday_cos,weekday_sin' AS names,
+                    sin(2 * pi() * month(date) / 12) AS month_sin, cos(2 * pi() * (isodow(date) - 1) / 7) AS weekday_cos FROM orders_days""")
 def b19(spark, sf):
-    from meterloom.functions.encode import CYCLES, with_cyclic
+    from meterloom.functions.encode import with_cyclic
 
-    out = with_cyclic(daily.with_calendar(panels.orders_panel(spark, sf)))
-    return out.withColumn("kept", F.lit(len([c for c in CYCLES if c in out.columns])))
+    days = panels.orders_panel(spark, sf).select("series_id", "date")
+    out = with_cyclic(daily.with_calendar(days))
+    return out.withColumn("names", F.lit(",".join(sorted(set(out.columns) - set(days.columns)))))
 
 
 # ---- learners ----------------------------------------------------------------------------------------------------
@@ -233,13 +236,66 @@ def j20(spark, sf):
     return closedform.linear_predict(test, closedform.linear_fit(train, _ALL_FEATURES, "load_max", alpha=1.0), _ALL_FEATURES)
 
 
-@register("j19_class_probabilities", "series_id date:d total:6 covered:i",
-          "SELECT series_id, date, 1.0 AS total, 1 AS covered FROM days WHERE date >= DATE '2024-01-24'")
+# A planted rule on the days of the panel: weekends, days of the second half of the month, other days. Its classes and levels
+# follow from the calendar, so SQL knows what a learner that has understood the rule answers.
+_RULE = "CASE WHEN isodow(date) >= 6 THEN 0 WHEN day(date) > 15 THEN 1 ELSE 2 END"
+_LEVEL = "CASE WHEN isodow(date) >= 6 THEN 10 ELSE 0 END + CASE WHEN day(date) > 15 THEN 3 ELSE 0 END"
+_PLANTED = ["weekday", "day"]
+
+
+def planted(spark, sf, label):
+    days = panels.events_panel(spark, sf).select("series_id", F.to_date("ts").alias("date")).distinct().withColumns(
+        {"weekday": F.weekday("date") / 6.0, "day": F.day("date") / 30.0})
+    weekend, late = F.weekday("date") >= 5, F.day("date") > 15
+    value = {
+        "rule": F.when(weekend, 0).when(late, 1).otherwise(2), "level": F.when(weekend, 10).otherwise(0) + F.when(late, 3).otherwise(0),
+        "slope": F.weekday("date") * 2 - F.day("date") + 3,
+    }[label]
+    return materialise(models.assemble(days, _PLANTED).withColumn("label", value.cast("double")), "planted")
+
+
+def _planted_classes(name, params):
+    def run(spark, sf):
+        m = planted(spark, sf, "rule")
+        return models.fit_classifier(name, params, m, 3).transform(m)
+
+    return run
+
+
+def _planted_numbers(name, params, label):
+    def run(spark, sf):
+        m = planted(spark, sf, label)
+        return models.fit_regressor(name, params, m).transform(m)
+
+    return run
+
+
+_DAYS = "(SELECT DISTINCT series_id, date FROM panel)"
+_BOOST = {"n_estimators": 12, "iterations": 12, "learning_rate": 0.5, "max_depth": 3, "depth": 3, "min_child_samples": 1}
+for _id, _name, _params in [
+    ("j1_cart_planted", "CART", {"max_depth": 4}), ("j2_xgboost_planted", "XGBoost", _BOOST), ("j3_lightgbm_planted", "LightGBM", _BOOST),
+    ("j4_catboost_planted", "CatBoost", _BOOST), ("j5_linear_svm_planted", "SVM Linear", {"C": 1000.0}), ("j6_kernel_svm_planted", "SVM Non-Linear", {"C": 1000.0, "gamma": "20"}),
+    ("j8_logistic_planted", "Logistic Regression", {"C": 1e6, "max_iter": 1000}), ("j9_forest_planted", "Random Forest", {"max_depth": 6, "max_features": "all", "n_estimators": 20}),
+]:
+    register(_id, "series_id date:d prediction:i", f"SELECT series_id, date, {_RULE} AS prediction FROM {_DAYS}")(_planted_classes(_name, _params))
+for _id, _name, _params, _label in [
+    ("j10_cart_planted", "CART", {"max_depth": 4}, "level"), ("j11_xgboost_planted", "XGBoost", {**_BOOST, "n_estimators": 60}, "level"),
+    ("j12_lightgbm_planted", "LightGBM", {**_BOOST, "n_estimators": 60}, "level"), ("j13_catboost_planted", "CatBoost", {**_BOOST, "iterations": 60}, "level"),
+    ("j14_linear_svr_planted", "SVR Linear", {"C": 10000.0, "epsilon": 0.05}, "slope"), ("j15_kernel_svr_planted", "SVR Non-Linear", {"C": 10000.0, "epsilon": 0.05, "gamma": "20"}, "level"),
+    ("j17_forest_planted", "Random Forest", {"max_depth": 6, "max_features": "all", "n_estimators": 20}, "level"),
+]:
+    _value = _LEVEL if _label == "level" else "2 * (isodow(date) - 1) - day(date) + 3"
+    register(_id, "series_id date:d prediction:0", f"SELECT series_id, date, {_value} AS prediction FROM {_DAYS}")(_planted_numbers(_name, _params, _label))
+
+
+@register("j19_class_probabilities", "series_id date:d likeliest:i sure:i total:6",
+          f"SELECT series_id, date, {_RULE} AS likeliest, 1 AS sure, 1.0 AS total FROM {_DAYS}")
 def j19(spark, sf):
-    m = matrix(spark, sf)
-    out = models.fit_classifier("SVM Linear", {"C": 1.0}, m.filter("role = 'train'"), 3).transform(m.filter("role = 'test'"))
+    m = planted(spark, sf, "rule")
+    out = models.fit_classifier("SVM Linear", {"C": 1000.0}, m, 3).transform(m)
+    top = F.array_max("probs")
     total = F.aggregate("probs", F.lit(0.0), lambda s, p: s + p)
-    return out.select("series_id", "date", total.alias("total"), F.forall("probs", lambda p: (p >= 0) & (p <= 1)).cast("int").alias("covered"))
+    return out.select("series_id", "date", (F.array_position("probs", top) - 1).alias("likeliest"), (top > 0.5).cast("int").alias("sure"), total.alias("total"))
 
 
 # ---- search and evaluation ---------------------------------------------------------------------------------------

@@ -63,13 +63,13 @@ def l5_intervals(spark, sf):
 @register("l6_validity_curves", "series_id target k:i inertia:6 silhouette:6 davies_bouldin:6 calinski_harabasz:6")
 def l6(spark, sf):
     p = panel(spark, sf).select("series_id", "ts", "total", "temperature")
-    return reports.report_dataset(p, ["total", "temperature"], (2, 3, 4))[1]
+    return reports.report_dataset(p, ["total", "temperature"], range(2, 10))[1]
 
 
 @register("l7_hourly_report_profiles", "series_id target k:i cluster:i slot:i value:6 days:i")
 def l7(spark, sf):
     hourly = panels.events_panel(spark, sf).groupBy("series_id", F.window(F.col("ts"), "1 hour").start.cast("timestamp_ntz").alias("ts")).agg(F.sum("total").alias("total"))
-    return reports.report_dataset(hourly, ["total"], (2, 3, 4), slots_per_day=24)[0]
+    return reports.report_dataset(hourly, ["total"], range(2, 10), slots_per_day=24)[0]
 
 
 @register("l8_rand_matrix", "series_id lft:i c1:6 c2:6 c3:6", ARI_MATRIX)

@@ -58,8 +58,7 @@ def a2(spark, sf):
     path = scratch_path(spark, "labels-csv")
     odd = F.when(F.day("date") % 10 == 0, F.lit("not a date")).otherwise(F.col("date").cast("string"))
     day_labels(spark, sf).select(odd.alias("DateOnly"), "cluster", F.col("series_id").alias("series")).write.option("header", True).csv(path)
-    text = spark.read.option("header", True).csv(path)
-    return text.select(ta.lenient_date("DateOnly").alias("date"), F.col("cluster").cast("int").alias("cluster"), "series")
+    return artefacts.read_labels_csv(spark, path, ["cluster"], ["series"])
 
 
 def det_profiles(spark, sf):
@@ -286,11 +285,10 @@ def c1d(spark, sf):
     return reshape.duplicate_slots(reshape.day_slots(ev))
 
 
-@register("c2_day_position_pivot", "series_id date:d s0:6 s1:6 s4:6",
-          """SELECT series_id, date, max(CASE WHEN ordinal = 0 THEN total END) AS s0, max(CASE WHEN ordinal = 1 THEN total END) AS s1,
-                    max(CASE WHEN ordinal = 4 THEN total END) AS s4 FROM panel GROUP BY 1, 2""")
+@register("c2_day_position_pivot", "series_id date:d " + " ".join(f"s{i}:6" for i in range(96)),
+          "SELECT series_id, date, " + ", ".join(f"max(CASE WHEN ordinal = {i} THEN total END) AS s{i}" for i in range(96)) + " FROM panel GROUP BY 1, 2")
 def c2(spark, sf):
-    return reshape.pivot_slots(reshape.day_ordinals(panels.events_panel(spark, sf), "total"))
+    return reshape.pivot_slots(reshape.day_ordinals(panels.events_panel(spark, sf), "total"), n_slots=None)
 
 
 @register("c3_wide_to_long", "series_id date:d slot:i value:6", "SELECT series_id, date, slot, total AS value FROM panel")

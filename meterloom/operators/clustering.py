@@ -84,17 +84,17 @@ def cluster_days(
     schema = f"{fields}, k int, date date, cluster int, inertia double"
 
     def fit(key, days):
-        k = int(key[-1])
         days = days.sort_values("date")
-        x = np.stack(days["vec"].to_numpy())
-        if len(x) < k:
-            return pd.DataFrame(columns=[*keys, "k", "date", "cluster", "inertia"])
-        labels, inertia = _fit_group(x, k, restarts, seed)
-        out = {name: key[i] for i, name in enumerate(keys)}
-        return pd.DataFrame({**out, "k": k, "date": days["date"].to_numpy(), "cluster": labels, "inertia": inertia})
-
-    wide = vectors.select(*keys, "date", "vec", F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"))
-    return wide.groupBy(*keys, "k").applyInPandas(fit, schema)
+        x, out = np.stack(days["vec"].to_numpy()), []
+        head = {name: key[i] for i, name in enumerate(keys)}
+        for k in ks:
+            if len(x) >= k:
+                labels, inertia = _fit_group(x, int(k), restarts, seed)
+                out.append(pd.DataFrame({**head, "k": int(k), "date": days["date"].to_numpy(), "cluster": labels, "inertia": inertia}))
+        return pd.concat(out) if out else pd.DataFrame(columns=[*keys, "k", "date", "cluster", "inertia"])
+
+    # One group for all k: the vectors of a series are sent once.
+    return vectors.select(*keys, "date", "vec").groupBy(*keys).applyInPandas(fit, schema)
 
 
 def cluster_days_pooled(

@@ -52,12 +52,15 @@ def drop_empty_days(slots: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return slots.join(filled, [*keys, "date"], "left_semi")
 
 
-def pivot_slots(slots: DataFrame, keys: Sequence[str] = KEYS, n_slots: int = SLOTS_PER_DAY, strict: bool = True) -> DataFrame:
+def pivot_slots(slots: DataFrame, keys: Sequence[str] = KEYS, n_slots: int | None = SLOTS_PER_DAY, strict: bool = True) -> DataFrame:
     """Wide day profile with columns ``s0 .. s{n-1}``.
 
-    The number of slots is given, so no job is spent on finding it; a reading outside them fails the query. With ``strict`` a
-    repeated slot does so too. The checks are a filter, which stays whichever columns are read.
+    A given number of slots spends no job on finding it; a reading outside them fails the query. ``None`` takes as many columns as
+    the longest day has positions, at least a day's quarter hours. With ``strict`` a repeated slot fails too. The checks
+    are a filter, which stays whichever columns are read.
     """
+    if n_slots is None:
+        n_slots = max(SLOTS_PER_DAY, (slots.agg(F.max("slot")).first()[0] or 0) + 1)  # one number
     cells = [F.max(F.when(F.col("slot") == s, F.col("value"))).alias(f"s{s}") for s in range(n_slots)]
     fail = lambda text: F.raise_error(F.lit(text)).cast("boolean")
     outside = (F.col("_last") >= n_slots) | (F.col("_first") < 0)

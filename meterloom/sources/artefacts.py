@@ -52,12 +52,13 @@ def read_leaderboard_csv(spark: SparkSession, path: str, schema: str, params: st
     )
 
 
-def read_labels_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+def read_labels_csv(spark: SparkSession, path: str, columns: Sequence[str], text_columns: Sequence[str] = ()) -> DataFrame:
     """Per-day cluster table from CSV. The index column may be called ``DateOnly`` or anything else if it comes first;
-    unreadable dates become null."""
+    unreadable dates become null. ``columns`` are numbers, ``cluster`` an integer; ``text_columns`` stay text."""
     text = spark.read.option("header", True).csv(path)
     index = "DateOnly" if "DateOnly" in text.columns else text.columns[0]
-    return text.select(lenient_date(F.col(f"`{index}`")).alias("date"), *[F.col(c).cast("double").alias(c) if c != "cluster" else F.col(c).cast("double").cast("int").alias(c) for c in columns])
+    numbers = [F.col(c).cast("double").cast("int" if c == "cluster" else "double").alias(c) for c in columns]
+    return text.select(lenient_date(F.col(f"`{index}`")).alias("date"), *numbers, *[F.col(c) for c in text_columns])
 
 
 def write_table(df: DataFrame, path: str, keys: Sequence[str] = ()) -> str:
