@@ -1,10 +1,12 @@
 """Exact deduplication by a tree merge of sorted digest runs.
 
-Every partition of the input forms one run: its distinct digests, each with the smallest id seen and a row count. Runs
-meet in binomial rounds: in each round ``2**fan_bits`` neighbouring runs merge into one, sorted by digest, and a merged
-entry keeps the smallest id and the sum of the counts. A digest is held by at most one row per run, so a group of copies
-shrinks by the fan-in in every round and never meets in one task; the partial sums of the first round are taken before
-anything is shuffled. Entries are only merged where SHA-256, a second 64-bit hash and the length all agree.
+Every partition of the input forms one run: its distinct digests in order, each with the smallest id seen and a row count. Runs
+meet in binomial rounds: in each round ``2**fan_bits`` neighbouring runs merge into one. A round is a sort aggregate: rows are sorted
+by (run, digest), dealt by (run, digest), and equal neighbours of all merged runs fold into one entry, which keeps the smallest id
+and the sum of the counts. Its output stands in the order of run and digest, as the smallest id is a struct, which Spark never
+folds in a hash table. A digest is held by at most one row per run, so a group of copies shrinks by the fan-in in every round
+and never meets in one task; the partial entries of the first round are made before anything is shuffled. Entries are only
+merged where SHA-256, a second 64-bit hash and the length all agree.
 
 Defined results: null text counts as empty; a null id is never smaller than another id and is kept only where all ids
 of the group are null; rows that repeat an id and a text form one document (all such rows are marked alike,
@@ -33,21 +35,19 @@ def with_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def merge_runs(digests: DataFrame, runs: int = RUNS, fan_bits: int = 4) -> DataFrame:
-    """One row per distinct text: ``digest, mark, size, keep_id, group_size``.
+    """One row per distinct text, in the order of the digest inside each partition: ``digest, mark, size, keep_id, group_size``.
 
     ``digests`` has a ``run`` number below ``runs`` (a power of two) for each row.
     """
-    level = digests.select("run", *KEY, F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    # Null ids stand behind all others.
+    level = digests.select("run", *KEY, F.struct(F.col("id").isNull().alias("none"), "id").alias("least"), F.lit(1).cast("long").alias("group_size"))
     left = (runs - 1).bit_length()
     while left > 0:
         step = min(fan_bits, left)
         left -= step
-        level = (
-            level.withColumn("run", F.shiftright("run", step))
-            .groupBy("run", *KEY).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-            .sortWithinPartitions("run", "digest")
-        )
-    return level.drop("run")
+        merged = level.withColumn("run", F.shiftright("run", step)).groupBy("run", *KEY)
+        level = merged.agg(F.min("least").alias("least"), F.sum("group_size").alias("group_size"))
+    return level.select(*KEY, F.col("least.id").alias("keep_id"), "group_size")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = RUNS, fan_bits: int = 4) -> DataFrame:

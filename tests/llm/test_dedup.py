@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from meterloom.llm import exact_dedup, line_dedup, near_dedup
 
@@ -132,3 +133,18 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_duplicates(none).count() == 0 and exact_dedup.deduplicate(none).count() == 0
     assert near_dedup.near_duplicates(none).count() == 0 and near_dedup.deduplicate(none).count() == 0
     assert line_dedup.deduplicate_lines(none).count() == 0
+
+
+def test_runs_are_merged_in_the_order_of_their_digests(spark, sf_documents):
+    digests = exact_dedup.with_digest(sf_documents.repartition(8)).withColumn("run", F.spark_partition_id())
+    winners = exact_dedup.merge_runs(digests, runs=64, fan_bits=2)
+    plan = winners._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortAggregate") == 6 and "HashAggregate" not in plan  # three rounds, each before and after the shuffle
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = winners.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), F.hex("digest").alias("d")).orderBy("i").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for p in {r["p"] for r in parts}:
+        own = [r["d"] for r in parts if r["p"] == p]
+        assert own == sorted(own) and len(own) > 1
