@@ -16,7 +16,7 @@ neighbours):
 
 A tokenizer of another kind (:func:`cuts_hold`) gets its texts whole, so results are the library's in every case.
 
-Memory of a task is a block of about 4 MB of text (or one longer text) and a bounded table of known fragments. Nothing is
+Memory of a task is a block of about 2 MB of text (or one longer text) and a bounded table of known fragments. Nothing is
 shuffled; a recomputed task gives the same rows.
 
 Defined results: null text counts as empty and has no ids; ids of rows pass through with their own type, null or repeated;
@@ -40,8 +40,8 @@ from meterloom.llm.byte_words import blocks
 from meterloom.llm.tokens import as_bytes, default_tokenizer, grown
 
 #: Fragments, and bytes of fragments, that a worker remembers; beyond either it starts anew.
-FRAGMENTS, FRAGMENT_BYTES = 600_000, 32 << 20
-BLOCK_BYTES = 1 << 22
+FRAGMENTS, FRAGMENT_BYTES = 300_000, 16 << 20
+BLOCK_BYTES = 1 << 21
 #: Fragments that are encoded in one call.
 RUN = 1000
 QUOTE = 39

@@ -88,7 +88,7 @@ def text_hits(text: str, features: dict[str, int], voter: list[int], memo: dict[
         hit = memo.get(word)
         if hit is None:
             found = tuple(features[f] for f in word_features(word) if f in features)
-            if len(memo) > 300_000:
+            if len(memo) > 100_000:
                 memo.clear()
             hit = memo[word] = (found, word in LEXICON)
         for f in hit[0]:
