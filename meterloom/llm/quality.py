@@ -1,7 +1,7 @@
 """Quality rules, line first.
 
-Every line with a word is tested by rules on its own: punctuation (shouting, symbol or exclamation noise, no end of sentence in a
-long line), navigation (menu words or separators) and boilerplate (notices that stand on many pages). Failed lines are
+Every line with a word is tested by rules on its own: punctuation (shouting, symbol or exclamation noise), navigation (menu words or
+separators) and boilerplate (notices that stand on many pages). Failed lines are
 removed, and a document is rejected if less than :data:`KEEP_PERCENT` of its word characters is left. Before that, base counts
 of the whole text reject very short and highly repetitive texts.
 

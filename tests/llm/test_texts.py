@@ -4,6 +4,8 @@ import re
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from meterloom.llm import mixing, quality, toxicity, urls
 
 SCHEMA = "doc_id long, text string, row string, id string, source string, score string, kept string, rate int"
@@ -111,3 +113,25 @@ def test_mixing_odd_rows(spark):
     assert got.select("row.*").columns == frame(spark, []).columns
     assert mixing.mix(frame(spark, [])).count() == 0
     assert mixing.mix(frame(spark, ODD), weights={"absent": 1.0}).count() == 0
+
+
+def test_url_classifier_on_names_it_was_not_trained_on(spark):
+    held = urls.labelled_urls(held_out=True)
+    trained = {u for u, _ in urls.labelled_urls()}
+    assert len(held) > 300 and not trained & {u for u, _ in held} and len(trained) > 1000
+    pages = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(held)], "page_id long, url string, truth int")
+    rows = urls.judge(pages, rules=[]).select("row.truth", (F.col("verdict") == "block").cast("int").alias("p")).collect()
+    hit, said, true = sum(r["truth"] * r["p"] for r in rows), sum(r["p"] for r in rows), sum(r["truth"] for r in rows)
+    assert hit >= 0.9 * true and hit >= 0.9 * said, (hit, said, true)
+    spam = ["mega-gamble.co.uk", "onlinegambling.io", "luckyspins.biz", "hot-singles.ru", "phishing-login.tk"]
+    plain = ["thering.example.org", "thernt.example.com", "ththon.example.org", "bookshelf.de", "cityweather.fr"]
+    both = spark.createDataFrame([(i, f"https://{h}/en/4") for i, h in enumerate(spam + plain)], "page_id long, url string")
+    got = {r["row"]["page_id"]: r["verdict"] for r in urls.judge(both, rules=[]).collect()}
+    assert [got[i] for i in range(10)] == ["block"] * 5 + ["allow"] * 5
+
+
+def test_urls_repeated_and_very_long(spark):
+    long_url = "https://news.example.org/" + "a" * 50_000
+    pages = spark.createDataFrame([(1, long_url, "x"), (1, long_url, "x"), (2, None, "y"), (3, "no scheme", "y")], "page_id long, url string, host string")
+    got = sorted((r["row"]["page_id"], r["host"], len(r["path"]), r["verdict"]) for r in urls.judge(pages).collect())
+    assert got[0] == got[1] and got[0][:3] == (1, "news.example.org", 50_001) and [g[1:3] for g in got[2:]] == [("", 0), ("", 0)]
