@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterable, Mapping
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
 from meterloom.learners import models, spaces
@@ -32,23 +34,25 @@ def cross_predict(fit: Callable[[DataFrame], models.Fitted], folded: DataFrame,
 
 
 def _search(names, n_trials, space, seed, score) -> list[tuple]:
-    """Best of ``n_trials`` random settings per model; a model is left out when all its trials fail."""
+    """Best of ``n_trials`` random settings per model with the number of trials that could be fitted; a model is left out when
+    none could."""
 
     def trial(name: str, number: int):
         rng = random.Random(zlib.crc32(f"{seed}/{name}/{number}".encode()))
         params = spaces.draw(space[name], rng)
         try:
             value = score(name, params)
-        except Exception:  # a failed fit is a failed trial, not a failed search
+        except (ValueError, PySparkException):  # parameters that a learner refuses are a failed trial, not a failed search
             value = None
         return name, params, value
 
     done = run_parallel([(lambda n=n, t=t: trial(n, t)) for n in names for t in range(n_trials)])
     best: dict[str, tuple] = {}
+    fitted = Counter(name for name, _, value in done if value is not None)
     for name, params, value in done:
         if value is not None and (name not in best or value > best[name][1]):
             best[name] = (params, value)
-    return [(n, float(v), _as_text(p), n_trials) for n, (p, v) in best.items()]
+    return [(n, float(v), _as_text(p), fitted[n]) for n, (p, v) in best.items()]
 
 
 def search_classifiers(
