@@ -2,7 +2,7 @@
 
 Features are cut into bins at their quantiles once, and rows are stored as blocks of bin numbers, labels and margins. For each
 level of a tree every task adds up gradient, hessian and rows by (class, node, feature, bin); Spark sums those histograms, running
-sums over the bins give the second-order gain of each cut, and only the best cut of each node reaches the driver.
+sums over the bins give the second-order gain of each cut, and only the best cut of each node and feature reaches the driver.
 A node's best cut does not depend on other nodes, so a tree that grows leaf by leaf, always at the largest gain, is found level by
 level: a level only looks at nodes that are still within the leaf limit in order of gain. The trees of all classes grow in the same
 passes. Margins are stored every :data:`STORE` trees; between, the few new trees are added while the blocks are read.
@@ -123,11 +123,13 @@ def _leaf_value(g: float, h: float, o: Options) -> float:
 
 
 def best_cuts(histograms: DataFrame, o: Options) -> DataFrame:
-    """``tree, node, gain, feature, bin`` of the best cut of every node with the sums ``gl, hl, g, h`` on its left and in all.
+    """``tree, node, gain, feature, bin`` of the best cut of every node and feature (with ``level_cuts``: of every node) with the sums
+    ``gl, hl, g, h`` on its left and in all.
 
-    ``histograms``: tree, node, feature, bin, g, h, n, from any number of tasks.
+    ``histograms``: tree, node, feature, bin, g, h, n, already added up by each task. One shuffle deals them by node and feature, and
+    everything up to the best bin happens where they arrive.
     """
-    summed = histograms.groupBy("tree", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+    summed = histograms.repartition("tree", "node", "feature").groupBy("tree", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
     own = Window.partitionBy("tree", "node", "feature")
     upto = own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     walked = summed.select("tree", "node", "feature", "bin", *[F.sum(c).over(upto).alias(f"{c}l") for c in "ghn"], *[F.sum(c).over(own).alias(c) for c in "ghn"])
@@ -143,9 +145,9 @@ def best_cuts(histograms: DataFrame, o: Options) -> DataFrame:
         joined = rated.join(one, "tree").filter((F.col("feature") == -F.col("_one.f")) & (F.col("bin") <= -F.col("_one.b")) & (F.col("_one._sum") > 0))
         best = joined.groupBy("tree", "node").agg(F.max_by(F.struct(F.coalesce("gain", F.lit(0.0)).alias("gain"), "feature", (-F.col("_one.b")).alias("bin"), "gl", "hl", "g", "h"), "bin").alias("s"))
         return best.select("tree", "node", "s.*")
-    place = F.struct("gain", (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"))
-    best = rated.filter("gain > 0").groupBy("tree", "node").agg(F.max_by(F.struct("gain", "feature", "bin", "gl", "hl", "g", "h"), place).alias("s"))
-    return best.select("tree", "node", "s.*")
+    place = F.struct("gain", (-F.col("bin")).alias("b"))
+    best = rated.filter("gain > 0").groupBy("tree", "node", "feature").agg(F.max_by(F.struct("gain", "bin", "gl", "hl", "g", "h"), place).alias("s"))
+    return best.select("tree", "node", "feature", "s.*")
 
 
 @dataclass
@@ -277,7 +279,13 @@ def _grow(stored: DataFrame, width: int, classes: int, pending: list[list[Tree]]
     for _ in range(o.depth):
         if not any(active):
             break
-        rows = best_cuts(_histograms(stored, width, classes, pending, trees, active, columns, bins, number, o), o).collect()  # one row per node
+        cuts = best_cuts(_histograms(stored, width, classes, pending, trees, active, columns, bins, number, o), o).collect()  # one row per node and feature
+        best: dict = {}
+        for r in cuts:
+            own = best.get((r["tree"], r["node"]))
+            if own is None or (r["gain"], -r["feature"]) > (own["gain"], -own["feature"]):
+                best[r["tree"], r["node"]] = r
+        rows = list(best.values())
         for r in sorted(rows, key=lambda r: (r["tree"], r["node"])):
             tree, node = trees[r["tree"]], r["node"]
             found[r["tree"]][node] = (r["gain"],)
